@@ -49,7 +49,7 @@ def log_nanos(ts: Column) -> Column:
     whole = log_time(F.regexp_replace(ts, r"\.\d+", ""))
     return F.when(
         log_time(ts).isNotNull(),
-        F.unix_seconds(whole) * F.lit(1_000_000_000) + F.try_to_number(fraction, F.lit("999999999")).cast("long"),
+        F.unix_seconds(whole) * F.lit(1_000_000_000) + fraction.cast("long"),
     )
 
 
