@@ -130,8 +130,10 @@ def strip(text: Column) -> Column:
 
 def clip_utf8(text: Column, limit: int) -> Column:
     """The first ``limit`` bytes, without a broken character at the end."""
-    cut = F.substring(F.encode(text, "UTF-8"), 1, limit)
-    return F.regexp_replace(F.decode(cut, "UTF-8"), "�+$", "")
+    raw = F.encode(text, "UTF-8")
+    return F.coalesce(
+        *[F.try_validate_utf8(F.substring(raw, 1, limit - back).cast("string")) for back in range(min(4, limit))]
+    )
 
 
 def title_from_body(body: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from functools import reduce
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import constants as C
 
@@ -25,9 +28,18 @@ def _fold_table() -> tuple[str, str]:
 
 
 FOLD_FROM, FOLD_TO = _fold_table()
+_FOLD = str.maketrans(FOLD_FROM, FOLD_TO)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``.
+
+    An expression named twice inside a lambda would run again for every element.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def string_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -39,11 +51,15 @@ def query_tokens(text: Column) -> Column:
 
 def content_terms(tokens: Column) -> Column:
     """Tokens without stopwords, first spelling of every lower-case word (F2)."""
-    lowered = F.transform(tokens, F.lower)
-    keep = F.filter(
-        F.array_distinct(lowered), lambda w: ~F.array_contains(string_array(C.STOPWORDS), w)
-    )
-    return F.transform(keep, lambda w: F.element_at(tokens, F.array_position(lowered, w).cast("int")))
+    def pick(bound: Column) -> Column:
+        keep = F.filter(
+            F.array_distinct(bound["low"]), lambda w: ~F.array_contains(string_array(C.STOPWORDS), w)
+        )
+        return F.transform(
+            keep, lambda w: F.element_at(bound["raw"], F.array_position(bound["low"], w).cast("int"))
+        )
+
+    return let(F.struct(tokens.alias("raw"), F.transform(tokens, F.lower).alias("low")), pick)
 
 
 def search_terms(text: Column) -> Column:
@@ -104,43 +120,53 @@ def contains_term(text: Column, term: Column) -> Column:
 
 def snippet(body: Column, terms: Column) -> Column:
     """A window around the earliest lower-case term (F11); ``terms`` from F3 tokens."""
-    flat = F.trim(F.regexp_replace(F.coalesce(body, F.lit("")), r"\s+", " "))
-    lowered = F.lower(flat)
-    hits = F.filter(F.transform(terms, lambda t: F.instr(lowered, t)), lambda p: p > 0)
-    at = F.coalesce(F.array_min(hits), F.lit(0)) - 1
-    start = F.when(at >= C.SNIPPET_LEAD, at - C.SNIPPET_LEAD).otherwise(0)
-    cut = F.substr(flat, start + 1, F.lit(C.SNIPPET_WINDOW))
-    return F.concat(
-        F.when(start > 0, "...").otherwise(""),
-        cut,
-        F.when(F.char_length(flat) > start + C.SNIPPET_WINDOW, "...").otherwise(""),
-    )
+    def window(flat: Column) -> Column:
+        hits = F.filter(
+            let(F.lower(flat), lambda low: F.transform(terms, lambda t: F.instr(low, t))), lambda p: p > 0
+        )
+        first = F.coalesce(F.array_min(hits), F.lit(0)) - 1
+        start = F.when(first >= C.SNIPPET_LEAD, first - C.SNIPPET_LEAD).otherwise(0)
+        return let(
+            start,
+            lambda at: F.concat(
+                F.when(at > 0, "...").otherwise(""),
+                F.substr(flat, at + 1, F.lit(C.SNIPPET_WINDOW)),
+                F.when(F.char_length(flat) > at + C.SNIPPET_WINDOW, "...").otherwise(""),
+            ),
+        )
+
+    return let(F.trim(F.regexp_replace(F.coalesce(body, F.lit("")), r"\s+", " ")), window)
+
+
+def _best_passage(body: str, terms, width: int) -> str:
+    words = body.split()
+    wanted = set(terms)
+    keys = [re.sub(r"[\W_]+", "", w.lower().translate(_FOLD)) for w in words]
+    hits = [(i, k) for i, k in enumerate(keys) if k in wanted]
+    best, start, counts, left = 0, 0, Counter(), 0
+    for right, (at, key) in enumerate(hits):
+        counts[key] += 1
+        while hits[left][0] <= at - width:
+            counts[hits[left][1]] -= 1
+            counts += Counter()
+            left += 1
+        if len(counts) > best:
+            best, start = len(counts), hits[left][0]
+    return ("..." if start else "") + " ".join(words[start : start + width]) + ("..." if start + width < len(words) else "")
 
 
 def match_snippet(body: Column, terms: Column, width: int = 40) -> Column:
-    """The ``width``-token window holding the most distinct terms, earliest wins.
+    """The ``width``-word window holding the most distinct terms, earliest wins.
 
-    Only windows that start at a matching token can be best, so the candidates
-    are the match positions.  Equal in purpose to the reference's passage, not
-    byte-equal.
+    ``terms`` are folded tokens.  Equal in purpose to the reference's passage,
+    not byte-equal.  Meant for the final hits: one Arrow batch helper.
     """
-    words = F.filter(F.split(F.coalesce(body, F.lit("")), r"\s+"), lambda w: w != "")
-    folded = F.transform(words, lambda w: F.regexp_replace(fold(w), r"[^\p{L}\p{N}]+", ""))
-    starts = F.filter(
-        F.transform(folded, lambda w, i: F.when(F.array_contains(terms, w), i)), lambda i: i.isNotNull()
-    )
-    scored = F.transform(
-        starts,
-        lambda i: F.struct(
-            F.size(F.array_intersect(F.slice(folded, i + 1, width), terms)).alias("n"), (-i).alias("neg")
-        ),
-    )
-    start = F.coalesce(-F.array_max(scored)["neg"], F.lit(0))
-    return F.concat(
-        F.when(start > 0, "...").otherwise(""),
-        F.array_join(F.slice(words, start + 1, width), " "),
-        F.when(F.size(words) > start + width, "...").otherwise(""),
-    )
+
+    @F.pandas_udf(T.StringType())
+    def passage(bodies: pd.Series, wanted: pd.Series) -> pd.Series:
+        return pd.Series([_best_passage(b or "", t if t is not None else (), width) for b, t in zip(bodies, wanted)])
+
+    return passage(body, terms)
 
 
 def doc_summary(doc: Column) -> Column:
@@ -158,6 +184,3 @@ def query_for_embedding(model: Column, text: Column) -> Column:
     instruct = F.startswith(F.lower(F.trim(model)), F.lit(C.INSTRUCT_MODEL))
     return F.when(instruct, F.concat(F.lit(C.INSTRUCT_PREFIX), text)).otherwise(text)
 
-
-def sum_columns(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, cols, F.lit(0))

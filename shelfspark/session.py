@@ -26,6 +26,7 @@ def local_session(cores: str = "8", app: str = "shelfspark", shuffle_partitions:
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in REQUIRED_CONF.items():
         builder = builder.config(key, value)

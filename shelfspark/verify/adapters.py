@@ -204,11 +204,11 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                               "'import' AS edge_type FROM v_pages"),
     "v_commits": ((), "SELECT o_orderstatus AS checkout, CAST(o_orderkey AS VARCHAR) AS hash, o_orderpriority AS subject, "
                       "o_orderstatus || ' ' || o_orderpriority AS body, o_orderdate AS authored_at FROM orders"),
-    "v_changes": ((), "SELECT DISTINCT l.l_orderkey AS change_id, o.o_orderdate AS at, p.p_brand || '/' || p.p_partkey AS path "
+    "v_changes": ((), "SELECT DISTINCT l.l_orderkey AS change_id, o.o_orderdate AS changed_at, p.p_brand || '/' || p.p_partkey AS path "
                       "FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN part p ON p.p_partkey = l.l_partkey"),
     "v_calls": ((), "SELECT CAST(user_id AS VARCHAR) AS checkout, event_id AS seq, CASE event_type "
                     + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in COMMAND_BY_EVENT.items())
-                    + " END AS name, ts AS at, epoch_us(ts) AS at_us, 'rec_' || json_extract_string(props, '$.k') AS hit_id FROM events"),
+                    + " END AS name, ts AS called_at, epoch_us(ts) AS at_us, 'rec_' || json_extract_string(props, '$.k') AS hit_id FROM events"),
     "v_in_out": ((), "SELECT CAST(user_id AS VARCHAR) AS checkout, event_id AS line_no, "
                      "CASE WHEN event_type = 'view' THEN 'in' ELSE 'out' END AS dir, ts FROM events "
                      "WHERE event_type IN ('view', 'click')"),
