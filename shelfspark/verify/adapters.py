@@ -26,9 +26,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables hold UTC times
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A driver table; zone-less times become timestamps."""
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        times = [f.name for f in table.schema if f.dataType.simpleString() == "timestamp_ntz"]
+        return table.withColumns({c: F.col(c).cast("timestamp") for c in times}) if times else table
 
     @cached_property
     def documents(self) -> DataFrame:
