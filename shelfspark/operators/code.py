@@ -37,14 +37,13 @@ def term_hits(rows: DataFrame, fields: list[str], terms: DataFrame, keep: list[s
         "gram", F.substr("term", F.lit(1), F.lit(GRAM))
     )
     sizes = sorted(r["n"] for r in keyed.select(F.char_length("gram").alias("n")).distinct().collect() if r["n"])
-    grams = [
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.char_length(text) - n + 1, F.lit(1))), lambda i, n=n: F.substr(text, i, F.lit(n))
-        )
-        for n in sizes
-    ] or [F.array().cast("array<string>")]
+    def grams(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.char_length(text) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))
+
+    found = F.concat(*[grams(n) for n in sizes]) if sizes else F.array().cast("array<string>")
     carried = list(dict.fromkeys(["checkout", *keep, *fields]))
-    pieces = rows.select(*carried, F.explode(F.array_distinct(F.concat(*grams))).alias("gram"))
+    pieces = rows.select(*carried, F.explode(F.array_distinct(found)).alias("gram"))
     met = lookup_join(pieces, keyed, ["checkout", "gram"], spread=F.xxhash64(*keep))
     flags = [F.contains(f, F.col("term")) for f in folded]
     hit = flags[0]

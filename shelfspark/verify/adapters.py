@@ -271,4 +271,4 @@ def with_views(names: str, body: str) -> str:
     if "\n--\n" in body:
         extra, body = body.split("\n--\n")
         parts.append(extra.strip().rstrip(","))
-    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body.strip()
+    return "WITH " + ",\n".join(parts) + "\n" + body.strip() if parts else body.strip()

@@ -8,7 +8,9 @@ from ..operators import calls, changes, globs, ignore, links, review
 from .adapters import glob_sql, with_views
 from .registry import query
 
-OWNED_SQL = "owned AS (SELECT *, unnest(applies_to) AS pattern FROM v_current)"
+OWNED_SQL = f"""owned AS (SELECT *, unnest(applies_to) AS pattern FROM v_current),
+pattern_hits AS (SELECT p.pattern, s.file_path, s.seq FROM (SELECT DISTINCT pattern FROM owned) p JOIN v_symbols s
+    ON {glob_sql('s.file_path', 'p.pattern')})"""
 START = "2024-01-01 00:00:00"
 END = "2024-01-30 00:00:00"
 
@@ -17,9 +19,9 @@ def _paths(t):
     return t.symbols.select(F.col("file_path").alias("path"))
 
 
-@query("records_matching_paths", "P5 J9", with_views("v_current v_symbols", OWNED_SQL + f"""
+@query("records_matching_paths", "P5 J9", with_views("v_current v_symbols", OWNED_SQL + """
 --
-SELECT DISTINCT o.id AS record_id, s.file_path AS path FROM owned o JOIN v_symbols s ON {glob_sql('s.file_path', 'o.pattern')}"""))
+SELECT DISTINCT o.id AS record_id, s.file_path AS path FROM owned o JOIN pattern_hits s ON s.pattern = o.pattern"""))
 def records_matching_paths(t):
     return globs.match_paths(review.current(t.records), _paths(t))
 
@@ -42,17 +44,17 @@ owned AS (SELECT id, checkout, unnest(applies_to) AS pattern FROM v_current WHER
 hits AS (SELECT DISTINCT p.path, o.id, o.checkout FROM owned o JOIN (SELECT DISTINCT path FROM v_changes) p ON {glob_sql('p.path', 'o.pattern')})
 --
 SELECT DISTINCT CAST(c.change_id AS VARCHAR) AS change_id, h.id AS record_id FROM v_changes c JOIN hits h ON h.path = c.path
-WHERE h.checkout IN ('', CASE WHEN c.change_id % 2 = 0 THEN 'src_1' ELSE 'src_2' END)"""))
+WHERE h.checkout IN ('', CASE WHEN c.change_id % 2 = 0 THEN 'src1' ELSE 'src2' END)"""))
 def related_records(t):
     placed = t.changes.select(
         F.col("change_id").cast("string").alias("change_id"),
-        F.when(F.col("change_id") % 2 == 0, "src_1").otherwise("src_2").alias("checkout"), "path",
+        F.when(F.col("change_id") % 2 == 0, "src1").otherwise("src2").alias("checkout"), "path",
     )
     return review.related(t.records, placed).select("change_id", "record_id")
 
 
-@query("stale_globs", "P15 P14 S7", with_views("v_current v_symbols", OWNED_SQL + f""",
-alive AS (SELECT DISTINCT o.id FROM owned o JOIN v_symbols s ON {glob_sql('s.file_path', 'o.pattern')}),
+@query("stale_globs", "P15 P14 S7", with_views("v_current v_symbols", OWNED_SQL + """,
+alive AS (SELECT DISTINCT o.id FROM owned o JOIN pattern_hits s ON s.pattern = o.pattern),
 dirs AS (SELECT DISTINCT brand AS dir FROM v_symbols)
 --
 SELECT DISTINCT o.id, o.title, o.type, o.scope FROM owned o WHERE o.id NOT IN (SELECT id FROM alive) AND (
@@ -62,8 +64,8 @@ def stale_globs(t):
     return review.stale_globs(t.records, t.files, review.top_dirs(t.files), "")
 
 
-@query("feature_files", "J24", with_views("v_current v_symbols v_changes", OWNED_SQL + f""",
-hits AS (SELECT DISTINCT o.id, o.title, o.scope, s.file_path, s.seq FROM owned o JOIN v_symbols s ON {glob_sql('s.file_path', 'o.pattern')}
+@query("feature_files", "J24", with_views("v_current v_symbols v_changes", OWNED_SQL + """,
+hits AS (SELECT DISTINCT o.id, o.title, o.scope, s.file_path, s.seq FROM owned o JOIN pattern_hits s ON s.pattern = o.pattern
     WHERE o.type = 'feature'),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY file_path) AS n FROM hits),
 recent AS (SELECT DISTINCT path FROM v_changes WHERE changed_at >= TIMESTAMP '2001-06-01 00:00:00')
