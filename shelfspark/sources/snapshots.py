@@ -1,43 +1,33 @@
-"""Table snapshots: numbered folders and a pointer that is replaced atomically.
+"""Table snapshots: numbered folders, complete once Spark has written ``_SUCCESS``.
 
-A reader follows the pointer, so it sees the old or the new snapshot, and a
-retried write of the same version overwrites its own folder only.
+A reader takes the newest complete version, so it sees an old or a new
+snapshot and never a half-written one.  A retried write overwrites its own
+version only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
+import re
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs
-    target = hadoop.Path(path)
-    return hadoop, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+from pyspark.sql import DataFrame, SparkSession
 
 
-def current_version(spark: SparkSession, base: str) -> int | None:
-    hadoop, fs = _fs(spark, base)
-    if not fs.exists(hadoop.Path(f"{base}/_current")):
-        return None
-    return int(spark.read.text(f"{base}/_current").first()["value"])
+def complete_versions(spark: SparkSession, base: str) -> list[int]:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = path(base)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    numbered = [int(n[1:]) for n in names if re.fullmatch(r"v\d+", n)]
+    return sorted(v for v in numbered if fs.exists(path(f"{base}/v{v}/_SUCCESS")))
 
 
-def read_snapshot(spark: SparkSession, base: str) -> DataFrame | None:
-    version = current_version(spark, base)
-    return None if version is None else spark.read.parquet(f"{base}/v{version}")
+def read_snapshot(spark: SparkSession, base: str, before: int | None = None) -> DataFrame | None:
+    """Newest complete version, or the newest older than ``before``; None when there is none."""
+    versions = [v for v in complete_versions(spark, base) if before is None or v < before]
+    return spark.read.parquet(f"{base}/v{versions[-1]}") if versions else None
 
 
 def write_snapshot(df: DataFrame, base: str, version: int, partition_by: tuple[str, ...] = ()) -> None:
-    """Write version ``version`` and make it current."""
-    spark = df.sparkSession
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{base}/v{version}")
-    hadoop, fs = _fs(spark, base)
-    fresh, live = hadoop.Path(f"{base}/.pointer-{version}"), hadoop.Path(f"{base}/_current")
-    out = fs.create(fresh, True)
-    out.write(bytearray(str(version).encode()))
-    out.close()
-    if fs.exists(live):
-        fs.delete(live, False)
-    if not fs.rename(fresh, live):
-        raise OSError(f"cannot publish snapshot {version} of {base}")

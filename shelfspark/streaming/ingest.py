@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import constants as C
 from ..operators import embedding as E
 from ..operators.tables import apply_plan, plan_upserts
+from ..schemas import ATTEMPTS, RECORDS
 from ..sources.snapshots import read_snapshot, write_snapshot
 
+VECTORS = "key string, text_hash string, model string, dim int, embedding array<float>"
+
 
 def _start(stream: DataFrame, each, checkpoint: str, trigger: dict | None) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
@@ -20,14 +23,15 @@ def ingest_stream(updates: DataFrame, base_path: str, checkpoint: str, now, trig
                   partition_by: tuple[str, ...] = ("checkout",)) -> StreamingQuery:
     """Upsert every micro-batch of record updates into the snapshot at ``base_path``.
 
-    The version is the batch id, so a replayed batch rewrites its own snapshot;
-    an update with an unchanged hash changes nothing.
+    The version is the batch id and builds on the versions before it, so a
+    replayed batch gives the same snapshot; an update with an unchanged hash
+    changes nothing.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        base = read_snapshot(spark, base_path)
+        base = read_snapshot(spark, base_path, batch_id + 1)
         if base is None:
-            base = spark.createDataFrame([], batch.withColumn("updated_at", F.current_timestamp()).schema)
+            base = spark.createDataFrame([], RECORDS)
         fresh = apply_plan(base, plan_upserts(base, batch, now))
         write_snapshot(fresh, base_path, batch_id + 1, partition_by)
 
@@ -35,26 +39,36 @@ def ingest_stream(updates: DataFrame, base_path: str, checkpoint: str, now, trig
 
 
 def embed_stream(items: DataFrame, vectors_path: str, attempts_path: str, embedder: E.Embedder, model: str, dim: int,
-                 checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+                 checkpoint: str, max_attempts: int = C.MAX_ATTEMPTS, trigger: dict | None = None) -> StreamingQuery:
     """Embed what each micro-batch of ``items[key, text, text_hash]`` still lacks.
 
-    Results are written once before both tables are derived from them, so the
-    embedder is not called twice for a batch.
+    Failures are tried again until they succeed or reach ``max_attempts``, which
+    empties the queue.  An item written again after a give-up starts over.  Every
+    attempt is written before anything is derived from it, so the embedder never
+    runs twice for one attempt.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        vectors = read_snapshot(spark, vectors_path)
+        version = batch_id + 1
+        vectors = read_snapshot(spark, vectors_path, version)
         if vectors is None:
-            vectors = spark.createDataFrame([], "key string, text_hash string, model string, dim int, embedding array<float>")
-        attempts = read_snapshot(spark, attempts_path)
+            vectors = spark.createDataFrame([], VECTORS)
+        attempts = read_snapshot(spark, attempts_path, version)
         if attempts is None:
-            attempts = spark.createDataFrame([], "key string, attempts int, last_error string, state string")
-        gave_up = attempts.where("state = 'giveup'").select("key")
-        todo = E.embed_worklist(batch.dropDuplicates(["key", "text_hash"]), vectors, model, dim).join(gave_up, "key", "left_anti")
-        results_path = f"{vectors_path}/results-{batch_id}"
-        E.embed(todo, embedder).write.mode("overwrite").parquet(results_path)
-        results = spark.read.parquet(results_path)
-        write_snapshot(E.store_vectors(vectors, results, model), vectors_path, batch_id + 1)
-        write_snapshot(E.apply_results(attempts, results), attempts_path, batch_id + 1)
+            attempts = spark.createDataFrame([], ATTEMPTS)
+        attempts = E.requeue_rewritten(attempts, batch)
+        todo = E.embed_worklist(batch.dropDuplicates(["key"]), vectors, model, dim)
+        for turn in range(max_attempts):
+            folder = f"{vectors_path}/results-{batch_id}-{turn}"
+            E.embed(todo, embedder).write.mode("overwrite").parquet(folder)
+            results = spark.read.parquet(folder)
+            vectors = E.store_vectors(vectors, results, model)
+            attempts = E.apply_results(attempts, results, max_attempts)
+            failed = results.where("error IS NOT NULL").select("key")
+            if not failed.limit(1).collect():
+                break
+            todo = batch.dropDuplicates(["key"]).join(failed, "key", "left_semi")
+        write_snapshot(vectors, vectors_path, version)
+        write_snapshot(attempts, attempts_path, version)
 
     return _start(items, each, checkpoint, trigger)
