@@ -33,10 +33,10 @@ def term_hits(rows: DataFrame, fields: list[str], terms: DataFrame, keep: list[s
     """
     folded = [X.ascii_fold(F.coalesce(F.col(f), F.lit(""))) for f in fields]
     text = F.concat_ws("\n", *folded)
-    keyed = terms.withColumn("term", X.ascii_fold(F.trim("term"))).withColumn(
-        "gram", F.substr("term", F.lit(1), F.lit(GRAM))
-    )
-    sizes = sorted(r["n"] for r in keyed.select(F.char_length("gram").alias("n")).distinct().collect() if r["n"])
+    asked = terms.withColumn("term", X.ascii_fold(F.trim("term")))
+    words = asked.select("checkout", "term").distinct().withColumn("gram", F.substr("term", F.lit(1), F.lit(GRAM)))
+    sizes = sorted(r["n"] for r in words.select(F.char_length("gram").alias("n")).distinct().collect() if r["n"])
+
     def grams(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.char_length(text) - n + 1, F.lit(1)))
         return F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))
@@ -44,15 +44,14 @@ def term_hits(rows: DataFrame, fields: list[str], terms: DataFrame, keep: list[s
     found = F.concat(*[grams(n) for n in sizes]) if sizes else F.array().cast("array<string>")
     carried = list(dict.fromkeys(["checkout", *keep, *fields]))
     pieces = rows.select(*carried, F.explode(F.array_distinct(found)).alias("gram"))
-    met = lookup_join(pieces, keyed, ["checkout", "gram"], spread=F.xxhash64(*keep))
+    # every distinct word is tested once, however many queries hold it
+    met = lookup_join(pieces, words, ["checkout", "gram"], spread=F.xxhash64(*keep)).drop("gram")
     flags = [F.contains(f, F.col("term")) for f in folded]
     hit = flags[0]
     for flag in flags[1:]:
         hit = hit | flag
-    named = [flag.alias(f"in_{f}") for f, flag in zip(fields, flags)]
-    return met.where(hit).select(
-        "query_id", "n_terms", "need", "term", *[c for c in carried if c not in ("query_id",)], *named
-    )
+    hits = met.where(hit).withColumns({f"in_{f}": flag for f, flag in zip(fields, flags)})
+    return lookup_join(hits, asked, ["checkout", "term"], spread=F.xxhash64(*keep))
 
 
 def strict_then_partial(hits: DataFrame, keep: list[str], sums: dict[str, Column], order: list[Column],

@@ -33,32 +33,31 @@ def clean_import(target: Column) -> Column:
     return F.regexp_replace(F.trim(target), "^[\"'`]+|[\"'`]+$", "")
 
 
-def scan_lines(content: Column) -> Column:
-    """Array of ``{line, name, kind, exported, target}`` for declaration and import lines."""
-    def scan(raw: Column, at: Column) -> Column:
-        line = R.strip(raw)
-        skip = (line == "") | F.regexp_like(line, F.lit(COMMENT))
-        word = F.regexp_extract(line, DECLARATION, 2)
-        keyword = F.lower(F.regexp_extract(line, DECLARATION, 1))
-        declares = (word != "") & ~skip
-        target = clean_import(F.regexp_extract(line, C.IMPORT_PATTERN, 1))
-        exported = F.regexp_like(F.lower(line), F.lit("^(export|pub|public) ")) | F.regexp_like(word, F.lit("^[A-Z]"))
-        return F.struct(
-            (at + 1).alias("line"),
-            F.when(declares & ~F.lower(word).isin(*C.DECLARATION_STOP_NAMES), word).alias("name"),
-            F.when(keyword.isin(*C.FUNCTION_KEYWORDS), "function").otherwise(keyword).alias("kind"),
-            exported.alias("exported"),
-            F.when(~declares & ~skip & F.regexp_like(line, F.lit(C.IMPORT_PATTERN)), target).alias("target"),
-        )
-
-    found = F.transform(F.split(content, "\n"), scan)
-    return F.filter(found, lambda s: s["name"].isNotNull() | s["target"].isNotNull())
-
-
-def generic_rows(files: DataFrame) -> DataFrame:
-    """``[checkout, path, line, name, kind, exported, target]`` for every file that is not prose."""
-    code = files.where(~P.extension(F.col("path")).isin(*C.PROSE_EXTENSIONS))
-    return code.select("checkout", "path", F.inline(scan_lines(F.col("content"))))
+def matching_lines(content: Column, *patterns: tuple[str, bool]) -> Column:
+    """``{line, text}`` of code lines that match, or do not match, every pattern."""
+    def numbered(raw: Column, at: Column) -> Column:
+        return F.struct((at + 1).alias("line"), R.strip(raw).alias("text"))
+
+    def wanted(s: Column) -> Column:
+        ok = (s["text"] != "") & ~F.regexp_like(s["text"], F.lit(COMMENT))
+        for pattern, expect in patterns:
+            found = F.regexp_like(s["text"], F.lit(pattern))
+            ok = ok & (found if expect else ~found)
+        return ok
+
+    return F.filter(F.transform(F.split(content, "\n"), numbered), wanted)
+
+
+def _code(files: DataFrame) -> DataFrame:
+    return files.where(~P.extension(F.col("path")).isin(*C.PROSE_EXTENSIONS))
+
+
+def declaration(text: Column) -> list[Column]:
+    """Name, kind and whether it is exported, of a line that declares something."""
+    name, keyword = F.regexp_extract(text, DECLARATION, 2), F.lower(F.regexp_extract(text, DECLARATION, 1))
+    exported = F.regexp_like(F.lower(text), F.lit("^(export|pub|public) ")) | F.regexp_like(name, F.lit("^[A-Z]"))
+    kind = F.when(keyword.isin(*C.FUNCTION_KEYWORDS), "function").otherwise(keyword)
+    return [name.alias("name"), kind.alias("kind"), exported.alias("exported")]
 
 
 def _strip_comment(text: str, mark: str) -> str:
@@ -118,24 +117,29 @@ def _docs(contents: pd.Series, rows: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def generic_symbols(files: DataFrame) -> DataFrame:
-    """Declarations with their doc block."""
-    code = files.where(~P.extension(F.col("path")).isin(*C.PROSE_EXTENSIONS))
-    found = code.select(
-        "checkout", "path", "content", F.filter(scan_lines(F.col("content")), lambda s: s["name"].isNotNull()).alias("s")
+def generic_symbols(files: DataFrame, docs: bool = True) -> DataFrame:
+    """Declarations, with their doc block unless ``docs`` is off."""
+    found = _code(files).select(
+        "checkout", "path", "content", matching_lines(F.col("content"), (DECLARATION, True)).alias("s")
     ).where(F.size("s") > 0)
-    documented = found.withColumn("docs", _docs("content", F.transform("s", lambda x: x["line"]))).select(
-        "checkout", "path", F.posexplode(F.arrays_zip("s", "docs")).alias("seq", "z")
+    text = _docs("content", F.transform("s", lambda x: x["line"])) if docs else F.transform("s", lambda x: F.lit(""))
+    rows = found.withColumn("docs", text).select("checkout", "path", F.posexplode(F.arrays_zip("s", "docs")).alias("seq", "z"))
+    named = rows.select(
+        "checkout", F.col("path").alias("file_path"), "seq", F.col("z.s.line").alias("line"), F.col("z.docs").alias("doc"),
+        *declaration(F.col("z.s.text")),
     )
-    return documented.select(
-        "checkout", F.col("path").alias("file_path"), "seq", F.col("z.s.name").alias("name"), F.col("z.s.kind").alias("kind"),
-        F.col("z.s.line").alias("line"), F.col("z.docs").alias("doc"), F.col("z.s.exported").alias("exported"),
+    return named.where(~F.lower("name").isin(*C.DECLARATION_STOP_NAMES)).select(
+        "checkout", "file_path", "seq", "name", "kind", "line", "doc", "exported"
     )
 
 
 def generic_edges(files: DataFrame) -> DataFrame:
-    return generic_rows(files).where("target IS NOT NULL").select(
-        "checkout", F.col("path").alias("from_file"), F.col("target").alias("to_path"), F.lit("import").alias("edge_type")
+    """Import lines that declare nothing."""
+    lines = matching_lines(F.col("content"), (C.IMPORT_PATTERN, True), (DECLARATION, False))
+    found = _code(files).select("checkout", "path", F.inline(lines))
+    return found.select(
+        "checkout", F.col("path").alias("from_file"),
+        clean_import(F.regexp_extract("text", C.IMPORT_PATTERN, 1)).alias("to_path"), F.lit("import").alias("edge_type"),
     )
 
 

@@ -146,7 +146,7 @@ def test_comment_above(lines, line, want):
 
 
 def test_scan_stays_in_the_jvm(spark):
-    plan = X.generic_rows(files(spark, a_zig=GO_LIKE))._jdf.queryExecution().executedPlan().toString()
+    plan = X.generic_edges(files(spark, a_zig=GO_LIKE))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
 
 
