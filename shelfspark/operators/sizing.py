@@ -38,3 +38,14 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     salted = big.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def spread_scan(df: DataFrame, key: str) -> DataFrame:
+    """Spread a file scan with fewer splits than cores.
+
+    One small file is one task however costly its rows are.  A large table has
+    more splits than cores and is left as it is.  Only for plain scans: asking
+    a plan with joins for its partitions would run it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records as R
 from ..functions import text as X
+from ..operators.sizing import spread_scan
 
 NOW = "2024-02-01 00:00:00"
 TYPE_BY_REST = ("rule", "decision", "feature", "guide", "map", "pitfall")
@@ -17,6 +18,10 @@ SEVERITY_BY_REST = ("must", "must-not", "should", "should-not")
 COMMAND_BY_EVENT = {"view": "search", "click": "get", "purchase": "cite", "signup": "remember", "error": "check"}
 
 
+#: Tables with costly rows (long texts, many pieces) and their key.
+SPREAD = {"documents": "doc_id", "pages": "page_id", "part": "p_partkey"}
+
+
 def _pick(index: Column, values) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
@@ -32,6 +37,8 @@ class Tables:
         """A driver table; zone-less times become timestamps."""
         table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         times = [f.name for f in table.schema if f.dataType.simpleString() == "timestamp_ntz"]
+        if name in SPREAD:
+            table = spread_scan(table, SPREAD[name])
         return table.withColumns({c: F.col(c).cast("timestamp") for c in times}) if times else table
 
     @cached_property
