@@ -29,26 +29,20 @@ def _with_target(edges: DataFrame, records: DataFrame, columns: list[Column]) ->
     return joined.withColumn("missing", F.when(F.col("record").isNull(), _missing(F.col("to_id"))))
 
 
-def visible_edges(links: DataFrame, asked: DataFrame) -> DataFrame:
-    """Edges a query of a checkout follows: shared ones and its own; pins need a checkout.
+def pins_of(links: DataFrame, asked: DataFrame) -> DataFrame:
+    """``[query_id, *EDGE]``: the pins every query of a checkout gets; a query without a checkout gets none.
 
-    ``asked[query_id, checkout]``.  Done as equi joins: own edges by checkout,
-    shared edges by a constant key, everything for a query without a checkout.
+    ``asked[query_id, checkout]``.  Pins are first listed per asked checkout, own
+    and shared ones, and then joined to the queries on the checkout.
     """
-    asked = asked.select("query_id", "checkout")
-    own = links.where("from_checkout <> ''").join(
-        asked.where("checkout <> ''"), F.col("from_checkout") == F.col("checkout")
-    )
-    shared = lookup_join(
-        links.where("from_checkout = ''").withColumn("_k", F.lit(1)),
-        asked.where("checkout <> ''").withColumn("_k", F.lit(1)), ["_k"], spread=F.xxhash64(*EDGE),
-    )
-    rootless = lookup_join(
-        links.where("kind <> 'pin'").withColumn("_k", F.lit(1)),
-        asked.where("checkout = ''").withColumn("_k", F.lit(1)), ["_k"], spread=F.xxhash64(*EDGE),
-    )
-    cols = ["query_id", *EDGE]
-    return own.select(cols).unionByName(shared.select(cols)).unionByName(rootless.select(cols))
+    pins = links.where("kind = 'pin'").select(*EDGE)
+    rooted = asked.where("checkout <> ''").select("query_id", "checkout")
+    checkouts = rooted.select("checkout").distinct()
+    own = pins.where("from_checkout <> ''").withColumn("checkout", F.col("from_checkout")).join(checkouts, "checkout", "left_semi")
+    everywhere = checkouts.groupBy().agg(F.collect_set("checkout").alias("all"))  # names only, one per checkout
+    shared = pins.where("from_checkout = ''").join(F.broadcast(everywhere)).withColumn("checkout", F.explode("all"))
+    listed = own.select("checkout", *EDGE).unionByName(shared.select("checkout", *EDGE))
+    return lookup_join(listed, rooted, ["checkout"], spread=F.xxhash64(*EDGE)).select("query_id", *EDGE)
 
 
 def follow_edges(hits: DataFrame, links: DataFrame, asked: DataFrame) -> DataFrame:
@@ -56,14 +50,14 @@ def follow_edges(hits: DataFrame, links: DataFrame, asked: DataFrame) -> DataFra
 
     Edges from hits are joined on the hit id, so only pins meet a query without a key.
     """
-    pins = visible_edges(links.where("kind = 'pin'"), asked)
+    pins = pins_of(links, asked)
     origin = hits.select("query_id", F.col("record_id").alias("from_id")).join(
         asked.select("query_id", "checkout"), "query_id"
     )
     from_hits = links.where("kind <> 'pin'").join(origin, "from_id").where(
         (F.col("checkout") == "") | (F.col("from_checkout") == "") | (F.col("from_checkout") == F.col("checkout"))
     )
-    return pins.select("query_id", *EDGE).unionByName(from_hits.select("query_id", *EDGE))
+    return pins.unionByName(from_hits.select("query_id", *EDGE))
 
 
 def follow_records(hits: DataFrame, links: DataFrame, asked: DataFrame, records: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval_queries", "scalar_queries", "table_queries", "rule_queries", "call_queries", "code_queries")
+MODULES = ("retrieval_queries", "scalar_queries", "table_queries", "rule_queries", "call_queries", "code_queries", "report_queries")
 
 
 def load() -> None:

@@ -400,7 +400,7 @@ def changed_files(t):
     return out["files"].select("path", "content_hash")
 
 
-@query("status_by_checkout", "A11 A3 A9", with_views("v_records v_vectors", """
+@query("status_by_checkout", "C14 A11 A3 A9", with_views("v_records v_vectors", """
 r AS (SELECT r.checkout, count(*) AS records, count(*) FILTER (WHERE v.record_id IS NULL AND status = 'accepted') AS missing_vectors,
     count(*) FILTER (WHERE doc_id % 9 IN (1, 2)) AS queue_depth, count(*) FILTER (WHERE doc_id % 9 = 0) AS giveups
     FROM v_records r LEFT JOIN v_vectors v ON v.record_id = r.id GROUP BY r.checkout),
