@@ -32,17 +32,12 @@ def _with_target(edges: DataFrame, records: DataFrame, columns: list[Column]) ->
 def pins_of(links: DataFrame, asked: DataFrame) -> DataFrame:
     """``[query_id, *EDGE]``: the pins every query of a checkout gets; a query without a checkout gets none.
 
-    ``asked[query_id, checkout]``.  Pins are first listed per asked checkout, own
-    and shared ones, and then joined to the queries on the checkout.
+    ``asked[query_id, checkout]``.  A query asks for the pins of its checkout and
+    for the shared ones, so one equi join finds both.
     """
     pins = links.where("kind = 'pin'").select(*EDGE)
-    rooted = asked.where("checkout <> ''").select("query_id", "checkout")
-    checkouts = rooted.select("checkout").distinct()
-    own = pins.where("from_checkout <> ''").withColumn("checkout", F.col("from_checkout")).join(checkouts, "checkout", "left_semi")
-    everywhere = checkouts.groupBy().agg(F.collect_set("checkout").alias("all"))  # names only, one per checkout
-    shared = pins.where("from_checkout = ''").join(F.broadcast(everywhere)).withColumn("checkout", F.explode("all"))
-    listed = own.select("checkout", *EDGE).unionByName(shared.select("checkout", *EDGE))
-    return lookup_join(listed, rooted, ["checkout"], spread=F.xxhash64(*EDGE)).select("query_id", *EDGE)
+    wanted = asked.where("checkout <> ''").select("query_id", F.explode(F.array("checkout", F.lit(""))).alias("from_checkout"))
+    return lookup_join(wanted, pins, ["from_checkout"], spread=F.xxhash64("query_id")).select("query_id", *EDGE)
 
 
 def follow_edges(hits: DataFrame, links: DataFrame, asked: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from shelfspark.session import ROCKSDB_PROVIDER, local_session
 
-    session = local_session("4", "tests", 4)
+    session = local_session("8", "tests", 2)
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     yield session
     session.stop()
