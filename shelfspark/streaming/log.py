@@ -37,11 +37,11 @@ def pair_by_id_stream(log: DataFrame, ttl: str = "24 hours") -> DataFrame:
 class FifoPairing(StatefulProcessor):
     """Queue of open ``in`` lines per (checkout, command); an ``out`` takes the oldest."""
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getListState("open", LINE, self.ttl_ms)
+        self.open = handle.getListState("open", LINE, self.ttl_ms) if self.ttl_ms else handle.getListState("open", LINE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         checkout, name = key
@@ -65,15 +65,17 @@ class FifoPairing(StatefulProcessor):
         pass
 
 
-def pair_fifo_stream(log: DataFrame, ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
+def pair_fifo_stream(log: DataFrame, ttl_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
     """First in first out pairing of id-less lines (X2); needs the RocksDB state store.
 
     Pairing one command's lines is serial by meaning; a micro-batch bounds how
-    many lines one key handles at a time, and old open lines expire.
+    many lines one key handles at a time, and old open lines expire.  Expiry by
+    the clock keeps a query running, so an ``availableNow`` run that has to end
+    passes ``ttl_ms=None``.
     """
     lines = log.select("checkout", "name", "line_no", "dir", "ts")
     return lines.groupBy("checkout", "name").transformWithStateInPandas(
-        FifoPairing(ttl_ms), PAIR, "Append", "ProcessingTime"
+        FifoPairing(ttl_ms), PAIR, "Append", "ProcessingTime" if ttl_ms else "None"
     )
 
 

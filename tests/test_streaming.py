@@ -30,7 +30,7 @@ def as_stream(spark, df, folder, batches=3, seed=5):
 
 def drain(df, name, tmp_path, mode="append"):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"ck_{name}")).trigger(availableNow=True).start()
-    q.awaitTermination(240)
+    assert q.awaitTermination(240)
     return df.sparkSession.table(name)
 
 
@@ -79,7 +79,7 @@ def test_fifo_stream(spark, tmp_path):
     rows = [(rng.choice("ab"), "get", i, rng.choice(["in", "out"]), T0 + dt.timedelta(seconds=i)) for i in range(120)]
     df = spark.createDataFrame(rows, "checkout string, name string, line_no long, dir string, ts timestamp")
     want = {(r.checkout, r.in_line, r.out_line) for r in K.pair_fifo(df).where("out_line IS NOT NULL").collect()}
-    got = drain(S.pair_fifo_stream(as_stream(spark, df, tmp_path / "l", 3, None)), "fifo", tmp_path)
+    got = drain(S.pair_fifo_stream(as_stream(spark, df, tmp_path / "l", 3, None), ttl_ms=None), "fifo", tmp_path)
     assert {(r.checkout, r.in_line, r.out_line) for r in got.collect()} == want
 
 
