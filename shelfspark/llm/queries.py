@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -23,3 +24,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return quality(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), keep=["doc_id"])
+
+
+@query
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    found = secrets.find_secrets(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(
+        "doc_id", *[secrets.count_kind(F.col("base_spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secrets.span_text(F.col("base_spans")), 256).alias("base_sha256"),
+        secrets.span_text(F.col("all_spans")).alias("spans"),
+    )

@@ -16,3 +16,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     judged = quality(docs.select(*COLUMNS), table(spark, sf_dir, "labels", "doc_id", "quality"))
     return judged.where("kept").select(*COLUMNS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its secrets replaced by a mark and ``n_chars`` counted anew where that changed the text."""
+    from .secrets import find_secrets, redact
+
+    found = find_secrets(docs.select(*COLUMNS)).withColumn("_changed", F.size("all_spans") > 0)
+    clean = found.withColumn("text", redact(F.col("text"), F.col("all_spans")))
+    return clean.withColumn("n_chars", F.when(F.col("_changed"), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
