@@ -94,3 +94,34 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+#: Bytes of one Arrow batch on its way to Python; a batch holds one row at least.
+ARROW_BYTES = 4 << 20
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes, so that long texts do not add up in a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
+def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str, size: Callable | None = None) -> DataFrame:
+    """Rows as tuples in, rows as tuples out, one partition at a time; ``size`` gives the bytes of an output row."""
+    fields = df.sparkSession.createDataFrame([], schema).schema
+    size = size or (lambda row: 200)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(fields)
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*[c.to_pylist() for c in batch.columns])
+
+        for part in batches_by_bytes(fn(rows()), size, ARROW_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), arrow)], schema=arrow)
+
+    return map_batches(df, run, schema)

@@ -36,3 +36,12 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.span_text(F.col("base_spans")), 256).alias("base_sha256"),
         secrets.span_text(F.col("all_spans")).alias("spans"),
     )
+
+
+@query
+def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    _, index = warc.archive_and_index(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return warc.read_index(spark, index).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "start", "length")
