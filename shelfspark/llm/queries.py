@@ -45,3 +45,11 @@ def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, index = warc.archive_and_index(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return warc.read_index(spark, index).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "start", "length")
+
+
+@query
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return mix(docs, keep=["doc_id", "source"], max_repeats=4.0)

@@ -25,3 +25,15 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     found = find_secrets(docs.select(*COLUMNS)).withColumn("_changed", F.size("all_spans") > 0)
     clean = found.withColumn("text", redact(F.col("text"), F.col("all_spans")))
     return clean.withColumn("n_chars", F.when(F.col("_changed"), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+#: No source is seen more often than this in the mixture.
+MAX_REPEATS = 2.0
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mixture shows it, at least once."""
+    from .mixing import mix
+
+    mixed = mix(docs.select(*COLUMNS), max_repeats=MAX_REPEATS)
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies"), F.lit(1))))).select(*COLUMNS)
