@@ -53,3 +53,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return mix(docs, keep=["doc_id", "source"], max_repeats=4.0)
+
+
+@query
+def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents", "doc_id", "text"))

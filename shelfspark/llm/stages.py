@@ -37,3 +37,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     mixed = mix(docs.select(*COLUMNS), max_repeats=MAX_REPEATS)
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies"), F.lit(1))))).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences; copies of a document are packed each by itself."""
+    from .packing import pack
+
+    return pack(docs.select("doc_id", "text"))
