@@ -44,3 +44,13 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     from .packing import pack
 
     return pack(docs.select("doc_id", "text"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id; repeated rows of it count once."""
+    from .ngram_join import find_classes
+
+    found = find_classes(docs.select("doc_id", "text"))
+    roots = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_root")).distinct()
+    kept = docs.select(*COLUMNS).join(roots, F.col("doc_id").eqNullSafe(F.col("_root")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])
