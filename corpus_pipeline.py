@@ -13,6 +13,10 @@ from shelfspark.llm.common import table, written
 
 STAGES = [
     ("quality rules", stages.keep_good),
+    ("n-gram Jaccard join", stages.one_of_each),
+    ("secret scans", stages.redact_secrets),
+    ("mixing sources", stages.mix_sources),
+    ("packing", stages.pack_sequences),
 ]
 
 #: Hashed n-gram models, permutations and token ids have no SQL form; tests/llm compares each stage with brute force.
