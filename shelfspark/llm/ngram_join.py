@@ -79,7 +79,7 @@ def set_rows(docs: DataFrame, text: str, id_col: str, percent: int, words: int,
                 seen.add(name)
             yield doc_id, len(members), name, _prefix(members, last, percent).view(np.int64).tolist()
 
-    return map_rows(docs.select(F.col(id_col).cast("long"), text), run, "doc_id long, n long, s binary, prefix array<long>",
+    return map_rows(docs.select(F.col(id_col).cast("long").alias("_id"), text), run, "doc_id long, n long, s binary, prefix array<long>",
                     lambda r: 60 + 8 * len(r[3]))
 
 
