@@ -77,3 +77,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+@query
+def op6_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .parsing import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
