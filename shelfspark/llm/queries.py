@@ -84,3 +84,12 @@ def op6_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .parsing import fingerprints
 
     return fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op2_extract_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import extraction
+
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    found = extraction.extract(pages, extraction.trained(pages))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
