@@ -93,3 +93,10 @@ def op2_extract_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
     found = extraction.extract(pages, extraction.trained(pages))
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op4_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).drop("spans")
