@@ -57,8 +57,16 @@ class Index:
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    by_term: list  # of (blocks, maxima, {block: (places, weights)})
     prior: float
+    #: Term t has the entries ``entries[t]`` to ``entries[t + 1]``, one a block: its number, largest weight and postings.
+    entries: np.ndarray = None
+    block: np.ndarray = None
+    most: np.ndarray = None
+    start: np.ndarray = None
+    size: np.ndarray = None
+    #: Postings: place of the example and weight of the term in it.
+    place: np.ndarray = None
+    weight: np.ndarray = None
     curve: tuple[float, float] = (1.0, 0.0)
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,29 +79,38 @@ class Index:
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a cosine above 0, best first."""
-        lists = [(self.by_term[t], w) for t, w in zip(at, weight) if len(self.by_term[t][0])]
-        if not lists:
-            return np.empty(0, dtype=np.int64), np.empty(0)
-        bound = np.bincount(np.concatenate([x[0] for x, _ in lists]), np.concatenate([x[1] * w for x, w in lists]))
-        order = np.argsort(-bound, kind="stable")
-        places, cosines, least = np.empty(0, dtype=np.int64), np.empty(0), 0.0
-        for b in order:
-            if bound[b] <= 0 or (len(places) == k and bound[b] < least - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for x, w in lists:
-                if (inside := x[2].get(b)) is not None:
-                    score[inside[0]] += w * inside[1]
-            here = np.flatnonzero(score > 0)
-            here = here[here + b * BLOCK != without]
-            places = np.concatenate([places, here + b * BLOCK])
-            cosines = np.round(np.concatenate([cosines, score[here]]), 9)
-            if len(places) > k:
-                best = np.lexsort((self.ids[places], -cosines))[:k]
-                places, cosines = places[best], cosines[best]
-            least = cosines.min() if len(places) == k else 0.0
-        best = np.lexsort((self.ids[places], -cosines))
-        return places[best], cosines[best]
+        none = np.empty(0, dtype=np.int64), np.empty(0)
+        lists = self.entries[at + 1] - self.entries[at] if len(at) else none[0]
+        if not lists.sum():
+            return none
+        entry = _ragged(self.entries[at], lists)
+        weight = np.repeat(weight, lists)
+        block = self.block[entry]
+        bound = np.bincount(block, self.most[entry] * weight)
+        cosines = np.zeros(len(bound) * BLOCK)
+
+        def open_blocks(wanted: np.ndarray) -> None:
+            inside = wanted[block]
+            size = self.size[entry[inside]]
+            post = _ragged(self.start[entry[inside]], size)
+            cosines[:] += np.bincount(self.place[post], self.weight[post] * np.repeat(weight[inside], size), minlength=len(cosines))
+
+        best = np.zeros(len(bound), dtype=bool)
+        best[np.argsort(-bound, kind="stable")[: k // BLOCK + 3]] = True
+        open_blocks(best)
+        found = cosines.copy()
+        if without >= 0:
+            found[without : without + 1] = 0.0
+        least = np.partition(found, -k)[-k] if len(found) > k else 0.0
+        rest = (bound >= max(least - 1e-9, 1e-12)) & ~best  # no other block can hold a neighbour
+        if rest.any():
+            open_blocks(rest)
+        cosines = np.round(cosines, 9)
+        if without >= 0:
+            cosines[without : without + 1] = 0.0
+        places = np.flatnonzero(cosines > 0)
+        order = np.lexsort((self.ids[places], -cosines[places]))[:k]
+        return places[order], cosines[places[order]]
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         w = cosines**2
@@ -104,6 +121,11 @@ class Index:
         return float(1 / (1 + np.exp(-(a * _logit(vote) + b))))
 
 
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that begin at ``starts``, one range after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 def _logit(p):
     p = np.clip(p, 1e-6, 1 - 1e-6)
     return np.log(p / (1 - p))
@@ -202,19 +224,23 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
 def build(rows: list, terms: dict[str, int], idf: np.ndarray, positives: int, negatives: int) -> Index:
     """Index of examples (_id, _y, terms, counts), similar ones near each other, with its curve."""
     names = list(terms)
-    index = Index(terms, idf, np.empty(0), np.empty(0), [], 0.0)
+    index = Index(terms, idf, np.empty(0), np.empty(0), 0.0)
     vectors = [(r["_id"], r["_y"], *index.vector({names[t]: c for t, c in zip(r["terms"], r["counts"])})) for r in rows]
     vectors.sort(key=lambda v: (len(v[2]) == 0, int(v[2][np.argmax(v[3])]) if len(v[2]) else 0, v[0]))
     index.ids = np.array([v[0] for v in vectors], dtype=np.int64)
     index.labels = np.array([v[1] for v in vectors], dtype=np.float64)
     index.prior = positives / max(1, positives + negatives)
-    lists: list[dict] = [{} for _ in terms]
-    for place, (_, _, at, weight) in enumerate(vectors):
-        for t, w in zip(at, weight):
-            lists[t].setdefault(place // BLOCK, []).append((place % BLOCK, w))
-    for held in lists:
-        packed = {b: (np.array([p for p, _ in x]), np.array([w for _, w in x])) for b, x in held.items()}
-        index.by_term.append((np.array(list(packed), dtype=np.int64), np.array([x[1].max() for x in packed.values()]), packed))
+    sizes = np.array([len(v[2]) for v in vectors], dtype=np.int64)
+    term = np.concatenate([v[2] for v in vectors]) if len(vectors) else np.empty(0, dtype=np.int64)
+    weight = np.concatenate([v[3] for v in vectors]) if len(vectors) else np.empty(0)
+    place = np.repeat(np.arange(len(vectors)), sizes)
+    order = np.lexsort((place, term))
+    term, index.place, index.weight = term[order], place[order], weight[order]
+    block = index.place // BLOCK
+    first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else place
+    index.start, index.size, index.block = first, np.diff(np.append(first, len(term))), block[first]
+    index.most = np.maximum.reduceat(index.weight, first) if len(first) else np.empty(0)
+    index.entries = np.searchsorted(term[first], np.arange(len(terms) + 1))
     if 0 < index.labels.sum() < len(vectors):
         votes = np.array([index.vote(*index.nearest(at, w, without=i)) for i, (_, _, at, w) in enumerate(vectors)])
         share = index.labels.mean()
