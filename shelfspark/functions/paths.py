@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import constants as C
 from .records import strip
@@ -84,21 +81,10 @@ def anchored_segment(pattern: Column) -> Column:
     return F.when(usable, first)
 
 
-_QUOTED = re.compile(r'"((?:[^"\\]|\\.)*)"')
-
-
-@F.udf(T.ArrayType(T.StringType()))
-def _quoted_header_paths(header: str):
-    """Both names of a quoted diff header; a backslash keeps the next character."""
-    names = [re.sub(r"\\(.)", r"\1", m) for m in _QUOTED.findall(header)]
-    return names[:2] if len(names) >= 2 else []
-
-
-def diff_paths(diff: Column, quoted: bool = True) -> Column:
+def diff_paths(diff: Column) -> Column:
     """Distinct paths a unified diff names, in first-seen order.
 
-    Plain headers and ``---``/``+++`` lines stay in the JVM.  ``quoted=False``
-    leaves out the small helper for quoted names.
+    A header with two quoted names gives both; a backslash keeps the next character.
     """
     lines = F.transform(F.split(F.coalesce(diff, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"\r+$", ""))
 
@@ -107,9 +93,13 @@ def diff_paths(diff: Column, quoted: bool = True) -> Column:
         cut = F.instr(rest, " b/")
         left = F.regexp_replace(F.substr(rest, F.lit(1), cut - 1), "^a/", "")
         right = F.regexp_replace(F.substr(rest, cut + 1), "^b/", "")
-        return F.when(F.startswith(rest, F.lit('"')) | (cut == 0), F.array().cast("array<string>")).otherwise(
-            F.array(left, right)
+        names = F.transform(
+            F.regexp_extract_all(line, F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1)),
+            lambda x: F.regexp_replace(F.regexp_replace(x, r"\\(.)", "$1"), "^[ab]/", ""),
         )
+        none = F.array().cast("array<string>")
+        quoted = F.when(F.size(names) >= 2, F.slice(names, 1, 2)).otherwise(none)
+        return F.when(F.startswith(rest, F.lit('"')), quoted).when(cut == 0, none).otherwise(F.array(left, right))
 
     def file_line(line: Column) -> Column:
         rest = F.substring_index(strip(F.substr(line, F.lit(5))), "\t", 1)
@@ -125,12 +115,4 @@ def diff_paths(diff: Column, quoted: bool = True) -> Column:
         )
 
     found = F.flatten(F.transform(lines, of_line))
-    if quoted:
-        headers = F.filter(lines, lambda x: F.startswith(x, F.lit('diff --git "')))
-        found = F.concat(
-            F.when(F.size(headers) > 0, F.transform(
-                _quoted_header_paths(F.array_join(headers, "\n")), lambda p: F.regexp_replace(p, "^[ab]/", "")
-            )).otherwise(F.array().cast("array<string>")),
-            found,
-        )
     return F.array_distinct(F.filter(F.transform(found, strip), lambda p: p != ""))

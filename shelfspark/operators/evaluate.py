@@ -38,7 +38,10 @@ def retrieval_eval(hits: DataFrame, gets: DataFrame, cites: DataFrame, golden: D
     """
     ranks = golden_ranks(hits, golden).groupBy("run").agg(
         F.count("*").alias("searches"), F.coalesce(F.bool_or(F.col("rank").isNotNull()), F.lit(False)).alias("golden_surfaced"),
-        F.min("rank").alias("best_rank"), F.avg(F.coalesce(F.lit(1.0) / F.col("rank"), F.lit(0.0))).alias("mean_reciprocal_rank"),
+        F.min("rank").alias("best_rank"),
+        # exact decimals: a sum of doubles would depend on the order of addition
+        (F.coalesce(F.sum((F.lit(1.0) / F.col("rank")).cast("decimal(20,12)")), F.lit(0)).cast("double") / F.count("*"))
+        .alias("mean_reciprocal_rank"),
     )
     marked = golden.select("id").distinct().withColumn("g", F.lit(True))
 

@@ -191,7 +191,7 @@ def review_due(t):
 golden AS (SELECT id FROM v_records WHERE status = 'accepted' AND ((type IN ('rule', 'decision') AND contains(body, 'the')) OR (type = 'pitfall' AND contains(body, 'que')))),
 h AS (SELECT checkout AS run, seq // 8 AS s, seq % 8 AS pos, hit_id AS id FROM v_calls WHERE name = 'search'),
 r AS (SELECT run, s, min(pos + 1) FILTER (WHERE id IN (SELECT id FROM golden)) AS rank FROM h GROUP BY run, s),
-a AS (SELECT run, count(*) AS searches, bool_or(rank IS NOT NULL) AS golden_surfaced, min(rank) AS best_rank, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM r GROUP BY run),
+a AS (SELECT run, count(*) AS searches, bool_or(rank IS NOT NULL) AS golden_surfaced, min(rank) AS best_rank, round(CAST(coalesce(sum(CAST(CAST(1 AS DOUBLE) / rank AS DECIMAL(20, 12))), 0) AS DOUBLE) / count(*), 6) AS mrr FROM r GROUP BY run),
 g AS (SELECT checkout AS run, count(*) AS gets, bool_or(hit_id IN (SELECT id FROM golden)) AS golden_read FROM v_calls WHERE name = 'get' GROUP BY 1),
 c AS (SELECT checkout AS run, count(*) AS cites, sum(CASE WHEN seq % 4 = 0 THEN 1 ELSE 0 END) AS cites_invalid,
     bool_or(hit_id IN (SELECT id FROM golden) AND seq % 4 <> 0) AS golden_cited FROM v_calls WHERE name = 'cite' GROUP BY 1)
