@@ -1,23 +1,24 @@
 """Declarations and imports from source text.
 
 Lines are scanned inside one JVM expression per file; a file never has to be
-regrouped.  The comment above a declaration comes from a small Arrow helper that
-sees only the files with declarations.
+regrouped.  Comment blocks are found by running maxima over the classified lines.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import constants as C
 from ..functions import paths as P
 from ..functions import records as R
+from ..functions import text as X
 
 DECLARATION = (
     "(?i)^(?:(?:" + "|".join(C.DECLARATION_MODIFIERS) + r")\s+)*(" + "|".join(C.DECLARATION_KEYWORDS) + r")\s+([A-Za-z_][A-Za-z0-9_]*)"
@@ -60,61 +61,75 @@ def declaration(text: Column) -> list[Column]:
     return [name.alias("name"), kind.alias("kind"), exported.alias("exported")]
 
 
-def _strip_comment(text: str, mark: str) -> str:
-    text = text.strip().removeprefix(mark).strip()
-    return text.removeprefix("/").strip() if mark == "//" else text
+def _join_doc(parts: Column) -> Column:
+    return R.strip(F.array_join(F.slice(F.filter(parts, lambda p: p != ""), 1, C.DOC_LINES), "\n"))
 
 
-def _capped(parts: list[str]) -> str:
-    return "\n".join([p for p in parts if p][: C.DOC_LINES]).strip()
+def _line_kinds(lines: Column) -> Column:
+    """One struct a line: stripped text, comment mark, and by running maxima the last line that says something, the
+    first line of the comment run it stands in, and the last line that opens a block comment (places from 0, or -1)."""
+    def kind(text: Column) -> Column:
+        skip = (text == "") | F.startswith(text, F.lit("@"))
+        return F.when(skip, "").when(F.startswith(text, F.lit("//")), "//").when(F.startswith(text, F.lit("#")), "#").otherwise("x")
 
+    rows = F.transform(F.transform(lines, R.strip), lambda t: F.struct(t.alias("text"), kind(t).alias("kind")))
 
-def comment_above(lines: list[str], line: int) -> str:
-    """Comment that ends just above a declaration, blank and ``@`` lines skipped."""
-    at = line - 2
-    floor = max(line - LOOK_UP, 0)
-    while at >= floor and (not lines[at].strip() or lines[at].strip().startswith("@")):
-        at -= 1
-    if at < floor:
-        return ""
-    last = lines[at].strip()
-    mark = next((m for m in ("//", "#") if last.startswith(m)), None)
-    top = at
-    if mark:
-        while top > 0 and lines[top - 1].strip().startswith(mark):
-            top -= 1
-        return _capped([_strip_comment(x, mark) for x in lines[top : at + 1]])
-    if "*/" not in last:
-        return ""
-    while top > 0 and "/*" not in lines[top]:
-        top -= 1
-    inside = re.search(r"/\*(.*?)(?:\*/|\Z)", "\n".join(lines[top : at + 1]), re.S)
-    return _capped([x.strip().removeprefix("*").strip() for x in inside[1].split("\n")]) if inside else ""
+    def seen(rows: Column, found) -> Column:
+        return X.running_max(F.transform(rows, lambda r, i: F.when(found(r, i), i).otherwise(-1)))
 
+    def same(rows: Column, r: Column, i: Column) -> Column:
+        return (i > 0) & (F.get(rows, i - 1)["kind"] == r["kind"])
 
-def docstring_below(lines: list[str], line: int) -> str:
-    """Triple-quoted text right below a declaration."""
-    below = [x.strip() for x in lines[line : line + C.DOC_LINES]]
-    while below and (not below[0] or below[0].startswith("@")):
-        below.pop(0)
-    quote = below[0][:3] if below else ""
-    if quote not in ('"""', "'''"):
-        return ""
-    text = "\n".join(below)[3:].split(quote, 1)[0]
-    return _capped([x.strip() for x in text.split("\n")])
+    def joined(rows: Column) -> Column:
+        return X.let(seen(rows, lambda r, i: r["kind"] != ""), lambda solid: X.let(
+            seen(rows, lambda r, i: ~same(rows, r, i)), lambda first: X.let(
+                seen(rows, lambda r, i: F.contains(r["text"], F.lit("/*"))), lambda opened: F.transform(rows, lambda r, i: F.struct(
+                    r["text"].alias("text"), r["kind"].alias("kind"), F.get(solid, i).alias("solid"), F.get(first, i).alias("first"),
+                    F.get(opened, i).alias("opened"))))))
 
+    return X.let(rows, joined)
 
-def doc_of(lines: list[str], line: int) -> str:
-    return comment_above(lines, line) or docstring_below(lines, line)
 
+def _texts(rows: Column, first: Column, last: Column) -> Column:
+    return F.transform(F.slice(rows, first + 1, F.greatest(last - first + 1, F.lit(0))), lambda r: r["text"])
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _docs(contents: pd.Series, rows: pd.Series) -> pd.Series:
-    out = []
-    for content, numbers in zip(contents, rows):
-        lines = content.split("\n")
-        out.append([doc_of(lines, int(n)) for n in numbers])
-    return pd.Series(out)
+
+def comment_above(rows: Column, line: Column) -> Column:
+    """Comment that ends just above a declaration, blank and ``@`` lines skipped (N10); ``rows`` from ``_line_kinds``."""
+    def block(at: Column, end: Column) -> Column:
+        marked = _texts(rows, end["first"], at)
+        slashes = F.transform(marked, lambda t: R.strip(F.regexp_replace(R.strip(F.substr(t, F.lit(3))), "^/", "")))
+        hashes = F.transform(marked, lambda t: R.strip(F.substr(t, F.lit(2))))
+        whole = F.array_join(_texts(rows, F.greatest(end["opened"], F.lit(0)), at), "\n")
+        inside = F.split(F.regexp_extract(whole, r"(?s)/\*(.*?)(?:\*/|\z)", 1), "\n")
+        starred = F.transform(inside, lambda t: R.strip(F.regexp_replace(R.strip(t), r"^\*", "")))
+        return (
+            F.when(end["kind"] == "//", _join_doc(slashes)).when(end["kind"] == "#", _join_doc(hashes))
+            .when(F.contains(end["text"], F.lit("*/")), _join_doc(starred)).otherwise("")
+        )
+
+    nearest = F.coalesce(F.get(rows, line - 2)["solid"], F.lit(-1))
+    return X.let(nearest, lambda at: F.when(
+        (at >= 0) & (at >= line - LOOK_UP), X.let(F.get(rows, at), lambda end: block(at, end))).otherwise(""))
+
+
+def docstring_below(rows: Column, line: Column) -> Column:
+    """Triple-quoted text right below a declaration (F26); ``rows`` from ``_line_kinds``."""
+    def of(below: Column) -> Column:
+        skipped = F.size(F.filter(below, lambda r, i: ~F.exists(F.slice(below, 1, i + 1), lambda x: x["kind"] != "")))
+        text = F.array_join(F.transform(F.slice(below, skipped + 1, C.DOC_LINES), lambda r: r["text"]), "\n")
+        return X.let(text, lambda t: F.when(F.substr(t, F.lit(1), F.lit(3)).isin('"""', "'''"), _join_doc(F.split(
+            F.split(F.substr(t, F.lit(4)), F.substr(t, F.lit(1), F.lit(3)), 2)[0], "\n"))).otherwise(""))
+
+    return X.let(F.slice(rows, line + 1, C.DOC_LINES), of)
+
+
+def docs_at(content: Column, at: Column) -> Column:
+    """Doc block of each of the declaration lines ``at`` (counted from 1) of one file."""
+    def doc(rows: Column, line: Column) -> Column:
+        return X.let(comment_above(rows, line), lambda above: F.when(above != "", above).otherwise(docstring_below(rows, line)))
+
+    return X.let(_line_kinds(F.split(content, "\n")), lambda rows: F.transform(at, lambda line: doc(rows, line)))
 
 
 def generic_symbols(files: DataFrame, docs: bool = True) -> DataFrame:
@@ -122,7 +137,7 @@ def generic_symbols(files: DataFrame, docs: bool = True) -> DataFrame:
     found = _code(files).select(
         "checkout", "path", "content", matching_lines(F.col("content"), (DECLARATION, True)).alias("s")
     ).where(F.size("s") > 0)
-    text = _docs("content", F.transform("s", lambda x: x["line"])) if docs else F.transform("s", lambda x: F.lit(""))
+    text = docs_at(F.col("content"), F.transform("s", lambda x: x["line"])) if docs else F.transform("s", lambda x: F.lit(""))
     rows = found.withColumn("docs", text).select("checkout", "path", F.posexplode(F.arrays_zip("s", "docs")).alias("seq", "z"))
     named = rows.select(
         "checkout", F.col("path").alias("file_path"), "seq", F.col("z.s.line").alias("line"), F.col("z.docs").alias("doc"),
@@ -143,64 +158,58 @@ def generic_edges(files: DataFrame) -> DataFrame:
     )
 
 
-# Top-level declarations of Gleam.
-GLEAM = {
-    "function": r"(?:pub\s+)?fn\s+([A-Za-z_]\w*)",
-    "type": r"(?:pub\s+)?(?:opaque\s+)?type\s+([A-Za-z_]\w*)",
-    "constant": r"(?:pub\s+)?const\s+([A-Za-z_]\w*)",
-}
+# Top-level declarations of Gleam, and the constructors inside a type.
+GLEAM_TOP = re.compile(
+    r"^(?:(?P<pub>pub )?(?:pub\s+)?(?:fn\s+(?P<function>[A-Za-z_]\w*)|(?:opaque\s+)?type\s+(?P<type>[A-Za-z_]\w*)"
+    r"|const\s+(?P<constant>[A-Za-z_]\w*))|import\s+(?P<target>[\w/]+))", re.A | re.M)
+GLEAM_CONSTRUCTOR = re.compile(r"^[ \t]*([A-Z]\w*)\s*?(?:\(|$)", re.A | re.M)
 
 
 def gleam_extractor(path: str, content: str):
-    """Gleam files (F25): top-level declarations, and constructors inside a type's braces."""
-    symbols, imports = [], []
-    open_braces, public = 0, False
-    for number, raw in enumerate(content.split("\n"), 1):
-        line, change = raw.strip(), raw.count("{") - raw.count("}")
-        comment = not line or line.startswith("//")
-        if open_braces > 0:
-            made = None if comment else re.match(r"([A-Z]\w*)\s*(?:\(|$)", line, re.A)
-            if made:
-                symbols.append((made[1], "constructor", number, public))
-            open_braces = max(open_braces + change, 0)
-            continue
-        if comment or line.startswith("@") or raw[:1] in (" ", "\t"):
+    """Gleam files (F25): top-level declarations, and constructors between the braces of a type.
+
+    Declarations are those at the start of a line outside every type's braces; braces are matched by running sums.
+    """
+    symbols, imports, end = [], [], 0
+    breaks = [m.start() for m in re.finditer("\n", content)]
+    for m in GLEAM_TOP.finditer(content):
+        if m.start() < end:
             continue
-        target = re.match(r"import\s+([\w/]+)", line, re.A)
-        if target:
-            imports.append(target[1])
+        if m["target"]:
+            imports.append(m["target"])
             continue
-        for kind, pattern in GLEAM.items():
-            named = re.match(pattern, line, re.A)
-            if named:
-                exported = line.startswith("pub ")
-                symbols.append((named[1], kind, number, exported))
-                if kind == "type" and "{" in line:
-                    open_braces, public = max(change, 0), exported
-                break
+        kind, public = m.lastgroup if m.lastgroup != "pub" else "type", m["pub"] is not None
+        line = bisect_left(breaks, m.start())
+        symbols.append((m[kind], kind, line + 1, public))
+        stop = breaks[line] if line < len(breaks) else len(content)
+        if kind == "type" and "{" in content[m.end() : stop]:
+            braces = [(b.start(), 1 if b[0] == "{" else -1) for b in re.finditer(r"[{}]", content[m.end() :])]
+            depths = accumulate(step for _, step in braces)
+            end = m.end() + next((at for (at, _), depth in zip(braces, depths) if depth == 0), len(content))
+            inside = GLEAM_CONSTRUCTOR.finditer(content, stop + 1, max(end, stop + 1))
+            symbols += [(c[1], "constructor", bisect_left(breaks, c.start(1)) + 1, public) for c in inside]
     return symbols, imports
 
 
 DEFAULT_EXTRACTORS: dict[str, Extractor] = {".gleam": gleam_extractor}
 EXTRACTED = (
-    "checkout string, path string, seq int, name string, kind string, line int, doc string, exported boolean, target string"
+    "checkout string, path string, content string, "
+    "symbols array<struct<name: string, kind: string, line: int, exported: boolean>>, imports array<string>"
 )
 
 
 def custom_rows(files: DataFrame, extractors: dict[str, Extractor]) -> DataFrame:
-    """Run plug-in extractors on files of their extension."""
+    """Run plug-in extractors on files of their extension (G2); one row a file that has anything."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for checkout, path, content in zip(frame["checkout"], frame["path"], frame["content"]):
                 use = extractors.get("." + path.rsplit(".", 1)[-1].lower())
-                if use is None:
-                    continue
-                symbols, imports = use(path, content)
-                lines = content.split("\n")
-                rows += [(checkout, path, i, n, k, at, doc_of(lines, at), e, None) for i, (n, k, at, e) in enumerate(symbols)]
-                rows += [(checkout, path, i, None, None, None, None, None, t) for i, t in enumerate(imports)]
-            yield pd.DataFrame(rows, columns=["checkout", "path", "seq", "name", "kind", "line", "doc", "exported", "target"])
+                symbols, imports = use(path, content) if use else ([], [])
+                if symbols or imports:
+                    named = [dict(zip(("name", "kind", "line", "exported"), x)) for x in symbols]
+                    rows.append((checkout, path, content, named, list(imports)))
+            yield pd.DataFrame(rows, columns=["checkout", "path", "content", "symbols", "imports"])
 
     wanted = files.where(P.extension(F.col("path")).isin(*extractors)).select("checkout", "path", "content")
     return wanted.mapInPandas(run, EXTRACTED)
@@ -217,12 +226,14 @@ def extract(files: DataFrame, extractors: dict[str, Extractor] | None = None) ->
         return generic_symbols(files), generic_edges(files)
     custom = custom_rows(files, extractors)
     done = custom.select("checkout", "path").distinct()
-    own_symbols = custom.where("name IS NOT NULL").select(
-        "checkout", F.col("path").alias("file_path"), "seq", "name", "kind", "line", "doc", "exported"
-    )
-    own_edges = custom.where("target IS NOT NULL").select(
-        "checkout", F.col("path").alias("from_file"), F.col("target").alias("to_path"), F.lit("import").alias("edge_type")
+    docs = docs_at(F.col("content"), F.transform("symbols", lambda x: x["line"]))
+    zipped = custom.select("checkout", "path", F.posexplode(F.arrays_zip("symbols", docs.alias("docs"))).alias("seq", "z"))
+    own_symbols = zipped.select(
+        "checkout", F.col("path").alias("file_path"), "seq", F.col("z.symbols.name").alias("name"), F.col("z.symbols.kind").alias("kind"),
+        F.col("z.symbols.line").alias("line"), F.col("z.docs").alias("doc"), F.col("z.symbols.exported").alias("exported"),
     )
+    own_edges = custom.select("checkout", F.col("path").alias("from_file"), F.explode("imports").alias("to_path")).withColumn(
+        "edge_type", F.lit("import"))
     rest = files.join(done, ["checkout", "path"], "left_anti")
     return (
         own_symbols.unionByName(generic_symbols(rest)),

@@ -164,11 +164,10 @@ def delete_records(tables: dict[str, tuple[DataFrame, list[str]]], keys: DataFra
 
 # record writes
 
-def _last_per(updates: DataFrame, key: list[str]) -> DataFrame:
-    """Batches are applied in order by the reference; here the last row of a key wins."""
-    if "seq" not in updates.columns:
-        return updates.dropDuplicates(key)
-    return latest(updates, key, [F.desc("seq")])
+def last_per(updates: DataFrame, key: list[str]) -> DataFrame:
+    """One row per key: the last by ``seq``; ties, or all rows without ``seq``, by their content, so reruns agree."""
+    content = F.desc(F.to_json(F.struct(*updates.columns)))
+    return latest(updates, key, [F.desc("seq"), content] if "seq" in updates.columns else [content])
 
 
 def plan_upserts(base: DataFrame, updates: DataFrame, now: Column) -> DataFrame:
@@ -188,14 +187,14 @@ def plan_upserts(base: DataFrame, updates: DataFrame, now: Column) -> DataFrame:
         F.col("created_at").alias("old_created"),
     )
     adopted = (
-        _last_per(updates, ["checkout", "source_path"])
+        last_per(updates, ["checkout", "source_path"])
         .join(at_path, ["checkout", "source_path"], "left")
         .withColumn("id", F.coalesce("path_id", "id"))
         .withColumn("created_at", F.coalesce("created_at", "path_created"))
     )
     same = (F.col("old_hash") == F.col("content_hash")) & F.col("old_path").eqNullSafe(F.col("source_path"))
     return (
-        _last_per(adopted, ["id"])
+        last_per(adopted, ["id"])
         .join(at_id, "id", "left")
         .withColumn("action", F.when(F.col("old_hash").isNull(), "inserted").when(same, "unchanged").otherwise("updated"))
         .withColumn("created_at", F.coalesce("old_created", "created_at", now))
@@ -240,8 +239,28 @@ def complete_drafts(drafts: DataFrame, checkout: str, now: Column) -> DataFrame:
     return R.with_content_hash(d.withColumn("status", R.default_status(F.col("status"))))
 
 
+def with_violations(records: DataFrame) -> DataFrame:
+    """Add ``violations``, why a record is refused (P13); null or empty when it is valid."""
+    cols = [F.col(c) for c in ("type", "scope", "status", "severity", "title", "slug")]
+    return records.withColumn("violations", R.violations(*cols))
+
+
+def split_valid(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records to write, and refused ones with their ``violations``."""
+    checked = records if "violations" in records.columns else with_violations(records)
+    bad = F.coalesce(F.size("violations") > 0, F.lit(False))
+    return checked.where(~bad).drop("violations"), checked.where(bad)
+
+
+def not_found(base: DataFrame, keys: DataFrame) -> DataFrame:
+    """Ids of patches or retirements that no record has."""
+    return lookup_join(keys.select("id").distinct(), base.select("id"), ["id"], "left_anti")
+
+
 def remember(base: DataFrame, drafts: DataFrame, checkout: str, now: Column) -> DataFrame:
-    return upsert_records(base, complete_drafts(drafts, checkout, now), now)
+    """Store valid drafts; ``split_valid`` of the completed drafts tells the refused ones."""
+    accepted, _ = split_valid(complete_drafts(drafts, checkout, now))
+    return upsert_records(base, accepted, now)
 
 
 def plan_updates(base: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
@@ -252,7 +271,8 @@ def plan_updates(base: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
     for c in names:
         put = R.patched_list if c == "applies_to" else R.patched
         rows = rows.withColumn(c, put(F.col(f"new_{c}"), F.col(c)))
-    return plan_upserts(base, R.with_content_hash(rows).select(*RECORD_COLUMNS), now)
+    accepted, _ = split_valid(R.with_content_hash(rows).select(*RECORD_COLUMNS))
+    return plan_upserts(base, accepted, now)
 
 
 def retire(base: DataFrame, targets: DataFrame, now: Column) -> DataFrame:
@@ -267,7 +287,7 @@ def retire(base: DataFrame, targets: DataFrame, now: Column) -> DataFrame:
 def plan_import(base: DataFrame, docs: DataFrame, now: Column) -> DataFrame:
     """Merge parsed documents; actions imported, updated or skipped.
 
-    Matched by id, else by (checkout, path).  A match keeps its id, creation
+    Invalid documents take no part (``split_valid`` tells them).  Matched by id, else by (checkout, path).  A match keeps its id, creation
     time, path and checkout; nothing is ever deleted.
     """
     stored = base.select("id", "checkout", "source_path", "content_hash", "created_at")
@@ -275,7 +295,7 @@ def plan_import(base: DataFrame, docs: DataFrame, now: Column) -> DataFrame:
     def renamed(prefix: str) -> DataFrame:
         return stored.select(*[F.col(c).alias(f"{prefix}_{c}") for c in stored.columns])
 
-    docs = _last_per(docs, ["id"])
+    docs = last_per(split_valid(docs)[0], ["id"])
     by_id = docs.join(renamed("i"), F.col("id") == F.col("i_id"), "left")
     both = by_id.join(
         renamed("p"),

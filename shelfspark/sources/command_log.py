@@ -47,25 +47,33 @@ def parse_lines(lines: DataFrame, checkout: Column) -> DataFrame:
         text("dir").alias("dir"), text("source").alias("source"), text("command").alias("command"),
         F.try_variant_get("entry", "$.args", "variant").alias("args"), F.try_variant_get("entry", "$.result", "variant").alias("result"),
         text("error").alias("error"), F.try_variant_get("entry", "$.duration_ms", "long").alias("duration_ms"),
-        F.col("entry").isNotNull().alias("ok"), *[c for c in ("last",) if c in lines.columns],
+        F.col("entry").isNotNull().alias("ok"), *[c for c in ("last", "file") if c in lines.columns],
     )
 
 
-def read_command_log(spark: SparkSession, path: str, checkout: str = "", stream: bool = False) -> DataFrame:
+def read_command_log(spark: SparkSession, path: str, checkout: str | Column = "", stream: bool = False) -> DataFrame:
     """The log as a table (S11), or as a stream of newly arriving files.
 
-    A broken last line is a torn write and is dropped; any other broken line
-    fails the job and names the line.  A stream drops broken lines, as whole
-    files arrive at once.
+    ``checkout`` may be an expression over ``file``, for folders that hold the logs of several checkouts.  The files of
+    a checkout follow each other by their first time, then by name, and ``line_no`` runs through them.  A broken
+    last line of a file is a torn write and is dropped; any other broken line fails the job and names the line.
+
+    A stream keeps broken lines, with ``ok`` false and nothing else, as it cannot know a file's last line; ``line_no``
+    is the order of reading inside a micro-batch.
     """
+    owner = F.lit(checkout) if isinstance(checkout, str) else checkout
     if stream:
-        lines = spark.readStream.text(path).where(F.trim("value") != "").withColumn("line_no", F.lit(None).cast("long"))
-        return parse_lines(lines, F.lit(checkout)).where("ok").drop("ok")
+        lines = spark.readStream.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
+        return parse_lines(lines.withColumn("line_no", F.monotonically_increasing_id()), owner).drop("file")
     lines = numbered_lines(spark, path).where(F.trim("value") != "")
-    rows = parse_lines(lines, F.lit(checkout))
+    rows = parse_lines(lines, owner)
     message = F.concat(F.lit("command log line "), F.col("line_no").cast("string"), F.lit(" is not a JSON object"))
     keep = F.when(F.col("ok"), True).when(F.col("line_no") == F.col("last"), False).otherwise(F.raise_error(message).cast("boolean"))
-    return rows.where(keep).drop("ok", "last")
+    kept = rows.where(keep).drop("ok", "last")
+    files = kept.groupBy("checkout", "file").agg(F.min("ts_ns").alias("first"), F.max("line_no").alias("lines"))
+    before = Window.partitionBy("checkout").orderBy("first", "file").rowsBetween(Window.unboundedPreceding, -1)
+    skips = files.select("checkout", "file", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("skip"))
+    return kept.join(skips, ["checkout", "file"]).withColumn("line_no", F.col("line_no") + F.col("skip")).drop("skip", "file")
 
 
 def log_lines(calls: DataFrame, limit: int = C.LOG_CLIP_BYTES) -> DataFrame:

@@ -113,13 +113,14 @@ def read_documents(spark: SparkSession, roots: dict[str, str], checkout: str = "
             files.select(
                 F.concat(F.lit(prefix), F.url_decode(relative)).alias("source_path"),
                 F.col("value").alias("content"), F.lit(scope).alias("fallback_scope"),
-                F.lit(checkout if scope == "repo" else "").alias("checkout"),
+                F.lit(checkout).alias("checkout"),
             )
         )
     docs = frames[0]
     for frame in frames[1:]:
         docs = docs.unionByName(frame)
-    return parse_documents(docs)
+    # the scope a document states decides where it belongs, not the folder it lies in
+    return parse_documents(docs).withColumn("checkout", F.when(F.col("scope") == "repo", F.col("checkout")).otherwise(""))
 
 
 def serialize(records: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import constants as C
 from ..operators import embedding as E
-from ..operators.tables import apply_plan, plan_upserts
+from ..operators.tables import apply_plan, last_per, plan_upserts
 from ..schemas import ATTEMPTS, RECORDS
 from ..sources.snapshots import read_snapshot, write_snapshot
 
@@ -57,7 +57,7 @@ def embed_stream(items: DataFrame, vectors_path: str, attempts_path: str, embedd
         if attempts is None:
             attempts = spark.createDataFrame([], ATTEMPTS)
         attempts = E.requeue_rewritten(attempts, batch)
-        todo = E.embed_worklist(batch.dropDuplicates(["key"]), vectors, model, dim)
+        todo = E.embed_worklist(last_per(batch, ["key"]), vectors, model, dim)
         for turn in range(max_attempts):
             folder = f"{vectors_path}/results-{batch_id}-{turn}"
             E.embed(todo, embedder).write.mode("overwrite").parquet(folder)
@@ -67,7 +67,7 @@ def embed_stream(items: DataFrame, vectors_path: str, attempts_path: str, embedd
             failed = results.where("error IS NOT NULL").select("key")
             if not failed.limit(1).collect():
                 break
-            todo = batch.dropDuplicates(["key"]).join(failed, "key", "left_semi")
+            todo = last_per(batch, ["key"]).join(failed, "key", "left_semi")
         write_snapshot(vectors, vectors_path, version)
         write_snapshot(attempts, attempts_path, version)
 

@@ -202,3 +202,24 @@ def test_weekly_review(spark, tmp_path):
     assert [(r.record_id, len(r.files), r.omitted, r.changed) for r in out["features"].collect()] == [("feat", 4, 1, True)]
     assert [(r.a_id, r.b_id) for r in out["similar"].collect()] == [("feat", "rec_a")]
     assert out["unembedded"].first()["n"] == 1 and out["changed_paths"].first()["n_paths"] == 1
+
+
+def test_several_files_of_two_checkouts(spark, tmp_path):
+    for folder, offset in (("a", 0), ("b", 0)):
+        for part in range(2):
+            lines = []
+            for i in range(2):
+                at = T0 + dt.timedelta(seconds=100 * (1 - part) + 10 * i + offset)
+                stamp = at.strftime("%Y-%m-%dT%H:%M:%SZ")
+                ident = f"{folder}{part}{i}"
+                lines += [json.dumps({"id": ident, "ts": stamp, "dir": d, "source": "cli", "command": "shelf get"}) for d in ("in", "out")]
+            target = tmp_path / folder
+            target.mkdir(exist_ok=True)
+            (target / f"part-{part}.jsonl").write_text("\n".join(lines) + "\n")
+    owner = F.regexp_extract("file", "/([ab])/part", 1)
+    log = read_command_log(spark, str(tmp_path / "*"), owner)
+    rows = sorted((r.checkout, r.line_no, r.id) for r in log.collect())
+    # the second file is earlier in time, so its lines come first
+    assert [r[2] for r in rows if r[0] == "a"] == ["a10", "a10", "a11", "a11", "a00", "a00", "a01", "a01"]
+    assert [r[1] for r in rows if r[0] == "b"] == list(range(1, 9))
+    assert K.pair_calls(log).count() == 8

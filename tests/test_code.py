@@ -141,8 +141,15 @@ def test_empty_plug_in_falls_back(spark):
     (["// far"] + [""] * 8 + ["fn x"], 10, ""), (["# one", "fn x"], 2, "one"), (["code", "fn x"], 2, ""),
     (["/* a", " * b */", "fn x"], 3, "a\nb"), (["b */", "fn x"], 2, ""), (["// x"] * 40 + ["fn x"], 41, "\n".join(["x"] * 24)),
 ])
-def test_comment_above(lines, line, want):
-    assert X.comment_above(lines, line) == want
+def test_comment_above(spark, lines, line, want):
+    df = spark.createDataFrame([("\n".join(lines), [line])], "content string, at array<int>")
+    assert df.select(X.docs_at(F.col("content"), F.col("at"))).first()[0] == [want]
+
+
+def test_docstring_below(spark):
+    content = 'def a():\n\n    """One.\n\n    Two. """\n@x\ndef b():\n    pass\n# c\n\n@y\ndef c():\n    \'\'\'no\'\'\'\n'
+    df = spark.createDataFrame([(content, [1, 7, 12])], "content string, at array<int>")
+    assert df.select(X.docs_at(F.col("content"), F.col("at"))).first()[0] == ["One.\nTwo.", "", "c"]
 
 
 def test_scan_stays_in_the_jvm(spark):

@@ -280,3 +280,21 @@ def test_index_files_only_touches_changes(spark):
     assert sorted(r.path for r in second["files"].collect()) == ["a.zig", "b.zig"]
     W.index_files(second["files"], second["symbols"], second["edges"], tree([("a.zig", "fn one()")]), spy, stale=True)
     assert seen[-1] == ["a.zig"]
+
+
+def test_invalid_drafts_are_refused_and_told(spark):
+    base = records(spark, {"id": "r1"})
+    drafts = records(spark, {"id": "n1", "type": "nonsense"}, {"id": "n2"}).drop("updated_at")
+    now = F.lit(T0).cast("timestamp")
+    done = W.complete_drafts(drafts, "", now)
+    accepted, refused = W.split_valid(done)
+    assert [r.id for r in accepted.collect()] == ["n2"] and refused.first()["violations"] == ["invalid type"]
+    assert sorted(r.id for r in W.remember(base, drafts, "", now).collect()) == ["n2", "r1"]
+    keys = spark.createDataFrame([("r1",), ("gone",)], "id string")
+    assert [r.id for r in W.not_found(base, keys).collect()] == ["gone"]
+
+
+def test_repeated_keys_without_order_agree(spark):
+    rows = spark.createDataFrame([("k", "b"), ("k", "a"), ("k", "c")], "key string, v string")
+    got = {W.last_per(rows.repartition(n), ["key"]).first()["v"] for n in (1, 2, 3)}
+    assert got == {"c"}
