@@ -6,7 +6,7 @@ more than ``max_repeats`` times, or the largest a at which the entropy of w reac
 (0 when no exponent does).  Each halving is one small aggregation over the table of sources.
 
 ``draw`` turns weights into copies.  The budget of a source holds some whole epochs and a remainder.  The
-remainder is a block permutation: documents lie in ``BLOCKS`` hash blocks, and blocks are taken in the
+remainder is a block permutation: documents lie in 1024 hash blocks, and blocks are taken in the
 order of a keyed permutation while they fit; the first that does not fit is cut into blocks again; in the
 first of those that does not fit, documents are taken in hash order while they fit.  What a
 source takes is thus everything before one cut, and no window holds more than a block of a block.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..operators.sizing import lookup_join
 from .common import written
 
-BLOCKS = 1024
+BLOCK_BITS = 10
 STEPS = 30
 
 
@@ -37,13 +37,14 @@ def word_count(text: Column) -> Column:
 
 def keyed(docs: DataFrame, source: str, tokens: Column, id_col: str, text: str, keep: list[str], seed: int) -> DataFrame:
     """``keep`` columns with the source key, tokens and the three places of the block permutation, written once."""
+    own = {"weight", "repeats", "copies", "epochs", "_source", "_place", "_k0", "_k1", "_c0", "_c1", "_c2", "_rest"}
     place = F.xxhash64(F.col(id_col), F.col(text))
-    block = lambda k: F.pmod(F.floor(F.col("_place") / F.lit(BLOCKS**k)), F.lit(BLOCKS))
-    out = docs.withColumns({
+    block = lambda k: F.shiftright("_place", BLOCK_BITS * k).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1).cast("long"))
+    out = docs.select(*[c for c in docs.columns if c not in own]).withColumns({
         "_source": F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")), "tokens": tokens, "_place": place})
     out = out.withColumns({
         "_k0": F.xxhash64(F.lit(seed), "_source", block(0)), "_k1": F.xxhash64(F.lit(seed), "_source", block(0), block(1))})
-    kept = [c for c in keep if c not in ("tokens", "weight", "repeats", "copies")]
+    kept = [c for c in keep if c not in own and c != "tokens"]
     return written(out.select(*kept, "_source", "tokens", "_place", "_k0", "_k1"), "mixing")
 
 
