@@ -58,13 +58,14 @@ def read_command_log(spark: SparkSession, path: str, checkout: str | Column = ""
     a checkout follow each other by their first time, then by name, and ``line_no`` runs through them.  A broken
     last line of a file is a torn write and is dropped; any other broken line fails the job and names the line.
 
-    A stream keeps broken lines, with ``ok`` false and nothing else, as it cannot know a file's last line; ``line_no``
-    is the order of reading inside a micro-batch.
+    A stream keeps broken lines, with ``ok`` false and nothing else, as it cannot know a file's last line; its ``line_no``
+    is the line's time in nanoseconds, which orders the lines of a checkout.
     """
     owner = F.lit(checkout) if isinstance(checkout, str) else checkout
     if stream:
         lines = spark.readStream.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
-        return parse_lines(lines.withColumn("line_no", F.monotonically_increasing_id()), owner).drop("file")
+        rows = parse_lines(lines.withColumn("line_no", F.lit(None).cast("long")), owner)
+        return rows.withColumn("line_no", F.col("ts_ns")).drop("file")
     lines = numbered_lines(spark, path).where(F.trim("value") != "")
     rows = parse_lines(lines, owner)
     message = F.concat(F.lit("command log line "), F.col("line_no").cast("string"), F.lit(" is not a JSON object"))
