@@ -113,7 +113,7 @@ def measured(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     """``keep`` columns (default: all) of every document plus what ``measure`` finds, written to the shared folder."""
     keep = docs.columns if keep is None else keep
     found = docs.withColumn("_found", measure(F.col(text), buckets, n))
-    return written(found.select(*[c for c in keep if c not in COUNTS], *[F.col("_found")[c].alias(c) for c in COUNTS],
+    return written(found.select(*[c for c in keep if c not in (*COUNTS, "_found", "_grams", "_weights")], *[F.col("_found")[c].alias(c) for c in COUNTS],
                                 F.col("_found")["grams"].alias("_grams")), "quality")
 
 
