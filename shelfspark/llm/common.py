@@ -66,13 +66,32 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Paths of tables written since ``start_record``.
+_RECORD: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, and survives lost executors."""
     path = new_path(df.sparkSession, label)
+    _RECORD.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def start_record() -> list[str]:
+    """Forget which tables were written; returns their paths."""
+    paths = list(_RECORD)
+    _RECORD.clear()
+    return paths
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def batches_by_bytes(items: Iterator, size: Callable, limit: int) -> Iterator[list]:
     """Lists of consecutive items whose sizes add up to about ``limit``; one larger item is a list of its own."""
     held, n = [], 0

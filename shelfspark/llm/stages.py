@@ -1,15 +1,39 @@
-"""The stages of the corpus pipeline, each one operator whose decisions take effect."""
+"""The stages of the corpus pipeline, each one operator whose decisions take effect.
+
+A stage's result must be written before the next stage starts: a stage deletes the tables that the stages before it
+left in the shared folder, so that they do not add up.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drop_tables, start_record, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+LAST = "pack_sequences"
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list[str] = []
+
+
+def stage(fn: Stage) -> Stage:
+    """Delete what earlier stages left, then remember what this one writes."""
+    @wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _left)
+        start_record()  # what others wrote is not ours to delete
+        out = fn(spark, docs, sf_dir)
+        _left[:] = [] if fn.__name__ == LAST else start_record()  # the last result is read when the caller likes
+        return out
+
+    return run
 
 
+@stage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the log-likelihood threshold."""
     from .quality import quality
@@ -18,6 +42,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where("kept").select(*COLUMNS)
 
 
+@stage
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its secrets replaced by a mark and ``n_chars`` counted anew where that changed the text."""
     from .secrets import find_secrets, redact
@@ -31,6 +56,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 MAX_REPEATS = 2.0
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mixture shows it, at least once."""
     from .mixing import mix
@@ -39,6 +65,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies"), F.lit(1))))).select(*COLUMNS)
 
 
+@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences; copies of a document are packed each by itself."""
     from .packing import pack
@@ -46,6 +73,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return pack(docs.select("doc_id", "text"))
 
 
+@stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id; repeated rows of it count once."""
     from .ngram_join import find_classes
