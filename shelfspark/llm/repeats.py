@@ -40,6 +40,8 @@ GRAM = 24
 PIECE, SETTLE = 1 << 19, 8 << 20
 #: Bytes of one block of segments, and segments of one anchor above which it goes its own way.
 BLOCK, WIDE = 1 << 19, 2000
+#: Starts of such anchors that a task settles among themselves.
+STARTS = 200_000
 LAST = (1 << 63) - 1
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -382,16 +384,38 @@ def suffix_repeats(found: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def digest_repeats(found: DataFrame) -> DataFrame:
-    """Repeated starts of anchors with very many segments: one row a start, compared by digest."""
+    """Repeated starts of anchors with very many segments: one row a string, compared by digest.
+
+    A task settles equal strings among ``STARTS`` of its own first, so a string that many documents share is one row a batch.
+    """
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for _, o, place, n, data in rows:
-            for i in range(n):
-                yield hashlib.blake2b(data[i : i + LENGTH], digest_size=16).digest(), o, place + i
-
-    strings = written(map_rows(found, run, "x binary, o long, place long"), "repeats-wide")
-    first = strings.groupBy("x").agg(F.min(F.struct("o", "place")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    return strings.join(first, "x").where((F.col("o") != F.col("f.o")) | (F.col("place") != F.col("f.place"))).select(
-        "o", "place", F.lit(1).cast("long").alias("n"))
+        for batch in batches_by_bytes(rows, lambda r: r[3], STARTS):
+            digests = b"".join(hashlib.blake2b(r[4][i : i + LENGTH], digest_size=16).digest() for r in batch for i in range(r[3]))
+            x = np.frombuffer(digests, dtype="<u8").reshape(-1, 2)
+            sizes = np.array([r[3] for r in batch])
+            o = np.repeat(np.array([r[1] for r in batch], dtype=np.int64), sizes)
+            step = np.arange(len(o)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            place = np.repeat(np.array([r[2] for r in batch], dtype=np.int64), sizes) + step
+            order = np.lexsort((place, o, x[:, 1], x[:, 0]))
+            x, o, place = x[order], o[order], place[order]
+            first = np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)])
+            yield from ((k.tobytes(), a, b, 1) for k, a, b in zip(x[first], o[first].tolist(), place[first].tolist()))
+            head = np.maximum.accumulate(np.where(first, np.arange(len(o)), 0))
+            again = (o != o[head]) | (place != place[head])  # a repeated row is no repeat of itself
+            if again.any():
+                o, place = o[again], place[again]
+                order = np.lexsort((place, o))
+                o, place = o[order], place[order].view(np.uint64)
+                keep = np.concatenate([[True], (o[1:] != o[:-1]) | (place[1:] != place[:-1])])
+                o, place = o[keep], place[keep]
+                at, n = _runs(place, np.ones(len(o), dtype=np.int64), np.concatenate([[True], o[1:] != o[:-1]]))
+                yield from ((None, a, b, c) for a, b, c in zip(o[at].tolist(), place[at].view(np.int64).tolist(), n.tolist()))
+
+    strings = written(map_rows(found, run, "x binary, o long, place long, n long"), "repeats-wide")
+    left = strings.where("x IS NOT NULL")
+    first = left.groupBy("x").agg(F.min(F.struct("o", "place")).alias("f"), F.count("*").alias("c")).where("c > 1")
+    met = left.join(first, "x").where((F.col("o") != F.col("f.o")) | (F.col("place") != F.col("f.place")))
+    return met.select("o", "place", "n").unionByName(strings.where("x IS NULL").select("o", "place", "n"))
 
 
 def removed(docs: DataFrame, ranges: DataFrame) -> DataFrame:
