@@ -4,7 +4,7 @@
 (maximal runs of one character class), slides a window over each and keeps the windows whose
 Shannon entropy reaches the class's threshold.  Entropy is updated by the counts of the leaving and
 the entering character only, in fixed-point integers; running sums give it for every window.  Windows
-that touch become one span.  Candidates on the allow-list are left alone.
+that touch become one span.  Candidates on the allow-list are left alone: see ``CLASSES`` for its rules, one of letter case among them.
 
 Everything is expressions on one row: no shuffle, no Python.  Places are code points, the end
 is exclusive.
@@ -32,21 +32,30 @@ ASSIGN_VALUE = 6
 
 @dataclass(frozen=True)
 class CharClass:
-    """Candidates of one character class.  ``allowed``: candidates found by this pattern are no secrets."""
+    """Candidates of one character class.  ``allowed``: candidates found by this pattern are no secrets.
+
+    ``words``: a piece between / _ = - that holds one of them is cut out, and the rest of the run is looked at.
+    """
 
     kind: str
     characters: str
     window: int
     bits: float
     allowed: str
+    words: str = ""
 
 
-#: Allow-list: no digit or no letter (words, numbers), UUIDs, documentation keys, one repeated short block.
-_COMMON = r"^[^0-9]+$|^[^A-Za-z]+$|(?i:example|xxxx|0123456789|abcdefgh)|^(.{1,8})\1+.{0,8}$"
+#: Allow-list: no digit or no letter (words, numbers), one repeated short block; UUIDs; documentation keys.
+_COMMON = r"^[^0-9]+$|^[^A-Za-z]+$|^(.{1,8})\1+.{0,8}$"
+_UUID = r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+_WORDS = r"(?i:example|xxxx|0123456789|abcdefgh)"
+#: Runs of one letter case with separators are mostly paths and names, so the first class leaves them alone; the classes
+#: of one case find keys in their pieces of 24 or more.  Runs of lower-case hexadecimal digits are known spans.
 CLASSES = (
-    CharClass("entropy_base64", "A-Za-z0-9+/_=-", 24, 3.9,
-              _COMMON + r"|^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[^a-z]+$|^[^A-Z]+$"),
-    CharClass("entropy_hex", "0-9A-Fa-f", 32, 3.0, _COMMON),
+    CharClass("entropy_base64", "A-Za-z0-9+/_=-", 24, 3.9, f"{_COMMON}|{_UUID}|^[^a-z]+$|^[^A-Z]+$", _WORDS),
+    CharClass("entropy_hex", "0-9A-Fa-f", 32, 3.0, f"{_COMMON}|{_WORDS}"),
+    CharClass("entropy_lower", "a-z0-9", 24, 3.4, f"{_COMMON}|{_WORDS}|^[0-9a-f]+$"),
+    CharClass("entropy_upper", "A-Z0-9", 24, 3.4, f"{_COMMON}|{_WORDS}"),
 )
 #: Order of kinds that start at the same place.
 KINDS = ("assign", "access", "hex", *[c.kind for c in CLASSES])
@@ -100,9 +109,22 @@ def _window_places(s: Column, window: int, bits: float) -> Column:
     return let(sums, lambda v: F.filter(places, lambda i: (i >= window - 1) & (F.get(v, i) <= most)))
 
 
+def _cut(run: Column, words: str, pattern: str) -> Column:
+    """What matches ``pattern`` in a run without its pieces that hold one of ``words``, as runs."""
+    piece = f"[/_=-]?(?<![A-Za-z0-9+])[A-Za-z0-9+]*?{words}[A-Za-z0-9+]*[/_=-]?"
+    blanks = lambda m: F.coalesce(F.repeat(F.lit(" "), F.char_length(m)), F.lit(""))
+    left = let(F.regexp_extract_all(run["s"], F.lit(piece), F.lit(0)), lambda found: F.array_join(
+        F.transform(F.split(run["s"], piece, -1), lambda g, i: F.concat(g, blanks(F.get(found, i)))), ""))
+    return F.transform(let(left, lambda s: _runs(s, pattern)), lambda r: F.struct(
+        (run["start"] + r["start"]).alias("start"), (run["start"] + r["end"]).alias("end"), r["s"].alias("s")))
+
+
 def _class_spans(text: Column, c: CharClass) -> Column:
     pattern = f"[{c.characters}]{{{c.window},}}"
-    wanted = F.filter(_runs(text, pattern), lambda r: ~r["s"].rlike(c.allowed))
+    runs = _runs(text, pattern)
+    if c.words:
+        runs = F.flatten(F.transform(runs, lambda r: F.when(r["s"].rlike(c.words), _cut(r, c.words, pattern)).otherwise(F.array(r))))
+    wanted = F.filter(runs, lambda r: ~r["s"].rlike(c.allowed))
 
     def merged(r: Column, ends: Column) -> Column:
         """Union of the windows that end at ``ends``, which are sorted."""

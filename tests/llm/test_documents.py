@@ -108,6 +108,20 @@ def test_secrets(spark, docs):
     assert secrets.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_secrets_of_one_letter_case_and_beside_allowed_words(spark):
+    lower, upper, mixed = "k3v9x2m7q1z8w4t6b5n0c3j7", "JBSWY3DPEHPK3PXQ4RTZ6MNA", "a1B2c3D4e5F6g7H8i9J0kLmNoP"
+    uuid = "123e4567-e89b-12d3-a456-426614174000"
+    keys = [(lower, lower), (upper, upper), (f"ñ docs/example/{mixed} x", mixed), (f"my_example_id={mixed}-example", f"id={mixed}"),
+            (f"docs/example/{lower}", lower), (f"{mixed}/xxxx", mixed), (f"EXAMPLE_{upper}==", upper)]
+    none = [f"example-{uuid}", f"{uuid}-example", f"a1example{mixed}", "/some/long/path-2023/of-lower_case-names", "abcdefgh" + lower]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([k for k, _ in keys] + none)], "doc_id int, text string")
+    found = secrets.find_secrets(rows).withColumn("clean", secrets.redact(F.col("text"), F.col("all_spans"))).orderBy("doc_id").collect()
+    for r, (text, key) in zip(found, keys):
+        assert all(text.index(key) <= a and b <= text.index(key) + len(key) for a, _, b in r.all_spans)
+        assert r.all_spans and key[3:] not in r.clean and key[-12:] not in r.clean
+    assert [(r.text, r.all_spans) for r in found[len(keys):]] == [(t, []) for t in none]
+
+
 def _rules(text):
     words = BLANKS.findall(text)
     counts = collections.Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
