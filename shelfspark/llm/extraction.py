@@ -10,7 +10,8 @@ Labelled pages come from two places: pages of the table that mark their article
 ``MAX_PAGES``, by a hash of the page id; every fourth is used a second time without those tags, so that the other features
 carry weight too), and the small labelled layouts in ``LAYOUTS``, which show menus, adverts, notices, forms and comments.
 
-Scripts, styles, templates and comments never become blocks.  Character references are decoded, white space inside a block
+Scripts, styles, templates, frames, drawings, choices and comments never become blocks; one of them without an end tag hides the rest of the page
+only where HTML reads it as raw text (``RAW``).  Formulas and objects are text like any other.  Character references are decoded, white space inside a block
 becomes one space, empty blocks vanish; the blocks labelled as article are joined by one space.
 
 Null or empty html, or no article block: empty text.  Pages are decoded one by one, so repeated rows and ties need no rule.  Without any
@@ -42,15 +43,40 @@ NAMED = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)
 WORD = re.compile(r"[a-z]+")
 
 #: How tags behave.
-RAW = frozenset("script style template noscript iframe svg math object textarea select title".split())
+RAW = frozenset("script style iframe textarea title".split())  # to the end tag, or to the end of the page
+SKIPPED = frozenset("template noscript svg select".split())  # to the matching end tag; without one only the start tag
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
-                   "span strike strong sub sup time tt u var wbr input button".split())
+                   "span strike strong sub sup time tt u var wbr input button object math maction menclose merror mfrac mi mmultiscripts "
+                   "mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr "
+                   "munder munderover none semantics annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset("article main".split())
 #: Tags that hold no article text even inside an article.
 ASIDE = frozenset("nav aside footer form button menu dialog".split())
 
 
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+_SKIPS = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(sorted(RAW))})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z))"
+    rf"|<(?P<end>/?)(?P<tag>{'|'.join(sorted(SKIPPED))})(?=[\s/>])(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+
+
+def skips(page: str) -> dict[int, int]:
+    """Where the start tags of SKIPPED elements end, and where their matching end tags end."""
+    out: dict[int, int] = {}
+    opened: dict[str, list[int]] = {t: [] for t in SKIPPED}
+    for m in _SKIPS.finditer(page):
+        if not m["tag"]:
+            continue
+        starts = opened[m["tag"].lower()]
+        if not m["end"]:
+            if not m["attrs"].endswith("/"):
+                starts.append(m.end())
+        elif starts:
+            out[starts.pop()] = m.end()
+    return out
+
+
 @dataclass
 class Block:
     text: str
@@ -66,6 +92,7 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, frozenset[str]]] = []
     held: list[tuple[str, bool]] = []
     page, at = page or "", 0
+    ends: dict[int, int] | None = None  # made when a page needs it
 
     def close() -> None:
         if held:
@@ -99,8 +126,11 @@ def blocks(page: str | None) -> list[Block]:
                 if tag in INLINE and stack[k][0] not in INLINE:
                     break  # an inline end tag closes nothing outside its block
         elif tag in RAW and not m["attrs"].endswith("/"):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            end = _RAW_END[tag].search(page, at)
             at = end.end() if end else len(page)
+        elif tag in SKIPPED and not m["attrs"].endswith("/"):
+            ends = skips(page) if ends is None else ends
+            at = ends.get(at, at)
         elif tag not in VOID and not m["attrs"].endswith("/"):
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # a new one ends the one before
                 for k in range(len(stack) - 1, -1, -1):

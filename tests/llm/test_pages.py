@@ -79,6 +79,20 @@ def test_extraction(spark):
     assert extraction.extract(pages.limit(0), extraction.trained(pages.limit(0))).count() == 0
 
 
+def test_an_unclosed_tag_hides_no_article():
+    text = lambda page: [b.text for b in extraction.blocks(page)]
+    for tag in ("svg", "select", "template", "noscript", "object", "math"):
+        assert text(f"<p>before</p><{tag} id=x><article><p>one</p><p>two</p></article>") == ["before", "one", "two"]
+        assert text(f"<div><{tag}></div><p>one</p><{tag}>gone</{tag}><p>two</p>") == (
+            ["one", "two"] if tag in extraction.SKIPPED else ["one", "gone", "two"])
+    for tag in extraction.SKIPPED:
+        assert text(f"<p>one</p><{tag}>a<{tag}>b</{tag}>c</{tag} ><!-- <{tag}> --><script>'<{tag}>'</script><{tag}/><p>two</p>") == ["one", "two"]
+    for tag in extraction.RAW:
+        assert text(f"<p>one</p><{tag}>gone</{tag} x><p>two</p><{tag}><p>gone</p>") == ["one", "two"]
+    assert text("<article><p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, <object data=f>a plot</object> shows it.</p></article>") == [
+        "If x=2, a plot shows it."]
+
+
 def test_field_on_layouts_it_has_not_seen():
     model = extraction.train(extraction.layout_pages(160))
     right = every = 0
