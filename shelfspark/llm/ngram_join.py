@@ -15,8 +15,8 @@ Token-group matrix:
 Links inside a component need no check, as the result is the component; no list of a token is ever paired with itself in full.
 
 Null or empty text and text without words: the empty set, linked with nothing, its own component.
-Repeated rows are members of one class.  A null id takes the component of its class.  Empty tables give empty
-results.  Other columns are ignored.  Sets are 64-bit hashes of shingles, classes 128-bit hashes of sets.
+Repeated rows are members of one class.  A null id takes the component of its class; the component of texts that all have
+null ids has a null id, and ``label`` tells such components apart.  Empty tables give empty results.  Other columns are ignored.  Sets are 64-bit hashes of shingles, classes 128-bit hashes of sets.
 """
 
 from __future__ import annotations
@@ -68,14 +68,15 @@ def _prefix(members: np.ndarray, late: np.ndarray | None, percent: int) -> np.nd
 
 
 def set_rows(docs: DataFrame, text: str, id_col: str, percent: int, words: int, late=None, once: bool = False) -> DataFrame:
-    """doc_id, n, class and prefix of every document; with ``once`` a task gives a class it has seen no second time."""
+    """doc_id, n, class, prefix and, of a null id, text hash of every document; with ``once`` a task gives a class it has seen
+    no second time."""
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         seen: set[bytes] = set()
         last = None if late is None else late.value
-        for doc_id, body in rows:
+        for doc_id, body, key in rows:
             members = shingle_set(body, words)
             if not len(members):
-                yield doc_id, 0, None, []
+                yield doc_id, 0, None, [], key
                 continue
             name = set_id(members)
             if once:
@@ -84,10 +85,15 @@ def set_rows(docs: DataFrame, text: str, id_col: str, percent: int, words: int,
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(name)
-            yield doc_id, len(members), name, _prefix(members, last, percent).view(np.int64).tolist()
+            yield doc_id, len(members), name, _prefix(members, last, percent).view(np.int64).tolist(), key
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("_id"), text), run, "doc_id long, n long, s binary, prefix array<long>",
-                    lambda r: 60 + 8 * len(r[3]))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text, text_key(id_col, text))
+    return map_rows(rows, run, "doc_id long, n long, s binary, prefix array<long>, key long", lambda r: 60 + 8 * len(r[3]))
+
+
+def text_key(id_col: str, text: str) -> Column:
+    """What a row with a null id is fetched by: a hash of its text; null for other rows."""
+    return F.when(F.col(id_col).cast("long").isNull(), F.xxhash64(text)).alias("key")
 
 
 def late_tokens(rows: DataFrame):
@@ -127,7 +133,8 @@ def _least(n: Column, percent: int) -> Column:
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, text: str, id_col: str, words: int) -> DataFrame:
-    """The full sets of the wanted classes (s, rid: their smallest id); a repeated row may give one a second time."""
+    """The full sets of the wanted classes (s, rid: their smallest id, or key: a text hash, when all their ids are null); a
+    repeated row may give one a second time."""
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         seen: set[bytes] = set()
         for (body,) in rows:
@@ -141,8 +148,10 @@ def class_sets(docs: DataFrame, wanted: DataFrame, text: str, id_col: str, words
             yield name, members.view(np.int64).tolist(), len(members), bit_map(members)
 
     texts = lookup_join(docs.select(F.col(id_col).cast("long").alias("rid"), F.col(text).alias("_text")),
-                        wanted.select("rid").distinct(), ["rid"], "left_semi")
-    made = map_rows(texts.select("_text"), run, "s binary, members array<long>, n long, bits binary", lambda r: 60 + 9 * len(r[1]))
+                        wanted.where("rid IS NOT NULL").select("rid").distinct(), ["rid"], "left_semi")
+    unnamed = lookup_join(docs.select(text_key(id_col, text), F.col(text).alias("_text")).where("key IS NOT NULL"),
+                          wanted.where("rid IS NULL").select("key").distinct(), ["key"], "left_semi")
+    made = map_rows(texts.select("_text").union(unnamed.select("_text")), run, "s binary, members array<long>, n long, bits binary", lambda r: 60 + 9 * len(r[1]))
     return written(made, "ngram-sets")
 
 
@@ -298,12 +307,13 @@ def open_groups(shared: DataFrame, classes: DataFrame, sets: DataFrame, percent:
 
 
 def find_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document, and ``s``, its class."""
+    """doc_id, n_shingles and component_id of every document, ``s``, its class, ``label``, the class that names its component,
+    and ``key``, the text hash of a null id."""
     first = written(set_rows(docs, text, id_col, percent, words), "ngram-rows")
     late = late_tokens(first)
     shared = shared_tokens(docs, late, text, id_col, percent, words)
-    classes = first.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("rid"), F.count("*").alias("copies"))
-    wanted = written(shared.select("s").distinct().join(classes, "s").where("rid IS NOT NULL"), "ngram-wanted")
+    classes = first.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("rid"), F.min("key").alias("key"), F.count("*").alias("copies"))
+    wanted = written(shared.select("s").distinct().join(classes, "s"), "ngram-wanted")
     sets = class_sets(docs, wanted, text, id_col, words)
     near = neighbours(shared, percent)
     pairs = near.select(F.least("s", "y").alias("a"), F.greatest("s", "y").alias("b")).distinct()
@@ -314,18 +324,19 @@ def find_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", pe
     known = classes.join(labels.withColumnRenamed("v", "s"), "s", "left").withColumn("label", F.coalesce("label", "s"))
     roots = known.groupBy("label").agg(F.min("rid").alias("component_id"))
     told = known.join(roots, "label").where("copies > 1 OR component_id <> rid OR rid IS NULL")  # others are alone
-    linked = written(told.select("s", "copies", "component_id"), "ngram-classes")
-    return with_classes(first.select("doc_id", "n", "s"), linked)
+    linked = written(told.select("s", "copies", "component_id", "label"), "ngram-classes")
+    return with_classes(first.select("doc_id", "n", "s", "key"), linked)
 
 
 def with_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Give each document the component of its class; classes with very many rows are joined by broadcast."""
     total = rows.count()
-    hot = classes.where(F.col("copies") > max(2.0, total * HOT)).select("s", F.col("component_id").alias("_hot"))
+    hot = classes.where(F.col("copies") > max(2.0, total * HOT)).select("s", F.col("component_id").alias("_hot"), F.col("label").alias("_hot_label"))
     some = rows.join(F.broadcast(hot), "s", "left")
     spread = F.when(F.col("_hot").isNull() & F.col("s").isNotNull(), F.col("s")).otherwise(
         F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rest = classes.where(F.col("copies") <= max(2.0, total * HOT)).select(F.col("s").alias("_key"), F.col("component_id").alias("_cold"))
+    rest = classes.where(F.col("copies") <= max(2.0, total * HOT)).select(F.col("s").alias("_key"), F.col("component_id").alias("_cold"), F.col("label").alias("_cold_label"))
     out = some.withColumn("_key", spread).join(rest, "_key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.when(F.col("n") > 0, F.coalesce("_hot", "_cold", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "s")
+                      F.when(F.col("n") > 0, F.coalesce("_hot", "_cold", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "s",
+                      F.coalesce("_hot_label", "_cold_label", "s").alias("label"), "key")

@@ -75,10 +75,14 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id; repeated rows of it count once."""
-    from .ngram_join import find_classes
+    """One document of each group of near duplicates: the one with the smallest id, or one text when all ids of the group are
+    null; repeated rows of it count once."""
+    from .ngram_join import find_classes, text_key
 
     found = find_classes(docs.select("doc_id", "text"))
-    roots = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_root")).distinct()
-    kept = docs.select(*COLUMNS).join(roots, F.col("doc_id").eqNullSafe(F.col("_root")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    roots = found.where("doc_id = component_id").select("doc_id").distinct()
+    unnamed = found.where("doc_id IS NULL AND component_id IS NULL").groupBy(
+        F.coalesce(F.hex("label"), F.col("key").cast("string"))).agg(F.min("key").alias("key"))
+    named = docs.select(*COLUMNS).join(roots, "doc_id", "left_semi").select(*COLUMNS)
+    others = docs.select(*COLUMNS, text_key("doc_id", "text")).where("doc_id IS NULL").join(unnamed.select("key"), "key", "left_semi")
+    return named.union(others.select(*COLUMNS)).dropDuplicates(["doc_id", "text"])

@@ -51,6 +51,27 @@ def test_one_document_of_each_group_stays(spark, docs):
     assert not any(100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(sets) for b in sets[:i] if a and b)
 
 
+def test_null_ids_are_linked_too(spark):
+    def prose(seed, edits=()):
+        return " ".join("changed" if i in edits else f"w{seed}x{i * 7919 % 1000}" for i in range(200))
+
+    bridge = [(1, prose(1)), (None, prose(1, (30, 60, 90))), (2, prose(1, (30, 60, 90, 120, 150, 180)))]  # 1 and 2 are linked by the null id only
+    bridge = [(i, t, "b") for i, t in bridge]
+    near = [(5, prose(2), "n"), (None, prose(2, (50,)), "n")]
+    unnamed = [(None, prose(3), "u"), (None, prose(3, (50,)), "u"), (None, prose(3), "u")]
+    alone = [(None, prose(4), "a"), (9, prose(5), "c"), (None, None, "e"), (None, "", "f")]
+    rows = spark.createDataFrame([(i, t, "en", k, 0) for i, t, k in bridge + near + unnamed + alone],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [set(shingle_set(t).tolist()) for _, t, _ in bridge]
+    like = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    assert like(sets[0], sets[1]) and like(sets[1], sets[2]) and not like(sets[0], sets[2])
+    found = ngram_join.find_classes(rows)
+    assert {r.doc_id: r.component_id for r in found.where("doc_id IS NOT NULL").collect()} == {1: 1, 2: 1, 5: 5, 9: 9}
+    assert sorted(str(r.component_id) for r in found.where("doc_id IS NULL AND n_shingles > 0").collect()) == ["1", "5", "None", "None", "None", "None"]
+    kept = stages.one_of_each(spark, rows, SMALL).collect()
+    assert sorted((str(r.doc_id), r.source) for r in kept) == [("1", "b"), ("5", "n"), ("9", "c"), ("None", "a"), ("None", "e"), ("None", "f"), ("None", "u")]
+
+
 def test_secrets_go_and_nothing_else(spark, docs):
     found = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
     clean = stages.redact_secrets(spark, docs, SMALL)
