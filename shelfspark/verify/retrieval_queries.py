@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fusion, keyword, vectors
+from ..operators import fusion, keyword, metric, vectors
+from ..session import new_folder
 from .adapters import STOP_SQL, WORD_SQL, fold_sql, with_views
 from .registry import query
 
@@ -78,6 +79,18 @@ hybrid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORD
     FROM layered WHERE layer = 1) WHERE rank <= 20)"""
 
 
+def _stored(t):
+    path = new_folder(t.spark, "keyword-index")
+    keyword.write_index(t.records, path, stem=False)
+    return keyword.read_index(t.spark, path)
+
+
+def _balls(t, rows):
+    path = new_folder(t.spark, "vector-balls")
+    metric.write_balls(rows, path, 64)  # several balls from the 500 vectors of the smallest tables on
+    return metric.open_balls(t.spark, path)
+
+
 def _vectors(t):
     return fusion.record_vectors_for_search(t.vectors, t.records)
 
@@ -91,6 +104,14 @@ def search_hybrid(t):
     return hits.select("query_id", "record_id", F.round("score", 9).alias("score"), "cosine", "source", "rank")
 
 
+@query("search_stored_hybrid", "C4 C2 F9 F10 N1 N3 T4 U7", with_views("v_records v_current v_vectors v_queries", HYBRID_SQL + """
+--
+SELECT query_id, record_id, round(score, 9) AS score, cosine, source, CAST(rank AS INTEGER) AS rank FROM hybrid"""))
+def search_stored_hybrid(t):
+    hits = fusion.hybrid_search(_stored(t), _balls(t, _vectors(t)), t.queries, t.records, floor=FLOOR, with_snippet=False)
+    return hits.select("query_id", "record_id", F.round("score", 9).alias("score"), "cosine", "source", "rank")
+
+
 @query("search_keyword", "C1 F7 N2 T1 U2", with_views("v_records v_queries", KEYWORD_SQL + """
 --
 SELECT query_id, record_id, score, any_term, rank FROM kw"""))
@@ -98,6 +119,13 @@ def search_keyword(t):
     return keyword.keyword_search(keyword.build_index(t.records, stem=False), t.queries)
 
 
+@query("search_stored_keyword", "C1 F7 N2 T1 U2", with_views("v_records v_queries", KEYWORD_SQL + """
+--
+SELECT query_id, record_id, score, any_term, rank FROM kw"""))
+def search_stored_keyword(t):
+    return keyword.keyword_search(_stored(t), t.queries)
+
+
 @query("search_keyword_stemmed", "C1 F6 G4")
 def search_keyword_stemmed(t):
     return keyword.keyword_search(keyword.build_index(t.records, stem=True), t.queries)
@@ -110,6 +138,13 @@ def search_vector(t):
     return vectors.vector_search(_vectors(t), t.queries.where("embedding IS NOT NULL"))
 
 
+@query("search_ball_vectors", "C2 T2 F8", with_views("v_current v_vectors v_queries", VECTOR_SQL + """
+--
+SELECT query_id, record_id AS key, cosine, CAST(rank AS INTEGER) AS rank FROM vec"""))
+def search_ball_vectors(t):
+    return vectors.vector_search(_balls(t, _vectors(t)), t.queries.where("embedding IS NOT NULL"))
+
+
 @query("search_files_by_vector", "C3 T3", with_views("v_vectors v_queries", f"""
 pairs AS (SELECT q.query_id, v.model AS checkout, v.record_id AS path,
     round(list_cosine_similarity(q.embedding, v.embedding), 6) AS cosine FROM v_queries q, v_vectors v
@@ -126,6 +161,22 @@ def search_files_by_vector(t):
     return vectors.file_search(files, asked, floor=FLOOR)
 
 
+@query("search_ball_files", "C3 T3", with_views("v_vectors v_queries", f"""
+pairs AS (SELECT q.query_id, v.model AS checkout, v.record_id AS path,
+    round(list_cosine_similarity(q.embedding, v.embedding), 6) AS cosine FROM v_queries q, v_vectors v
+    WHERE q.embedding IS NOT NULL AND v.model = 'm' || (q.query_id % 2))
+--
+SELECT query_id, path, cosine, CAST(rank AS INTEGER) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, path) AS rank FROM pairs WHERE cosine >= {FLOOR})
+WHERE rank <= 20"""))
+def search_ball_files(t):
+    files = t.vectors.select(F.col("model").alias("checkout"), F.col("record_id").alias("path"), "embedding")
+    asked = t.queries.where("embedding IS NOT NULL").withColumn(
+        "checkout", F.concat(F.lit("m"), (F.col("query_id") % 2).cast("string"))
+    )
+    return vectors.file_search(_balls(t, vectors.file_vectors_for_search(files)), asked, floor=FLOOR)
+
+
 @query("fuse_channels", "U7 F9 F10 N1", with_views("v_records v_current v_vectors v_queries", FUSE_SQL + """
 --
 SELECT query_id, record_id, CAST(kw_rank AS INTEGER) AS kw_rank, CAST(vec_rank AS INTEGER) AS vec_rank, cosine,
@@ -160,6 +211,26 @@ near AS (SELECT round(list_cosine_similarity(a.embedding, b.embedding), 6) AS co
 close AS (SELECT * FROM near WHERE cosine >= 0.40)"""
 
 
+def _current_vectors(t):
+    current = t.records.where("status NOT IN ('superseded', 'deprecated')").select("id")
+    return t.vectors.select(F.col("record_id").alias("id"), "embedding").join(current, "id")
+
+
+@query("stored_term_coverage", "A2 U2", with_views("v_records v_queries", TOKENS_SQL + "," + TERMS_SQL + """
+--
+SELECT query_id, record_id, CAST(sum(content_n) AS BIGINT) AS covered FROM postings JOIN qterms USING (term)
+WHERE content_n > 0 GROUP BY query_id, record_id"""))
+def stored_term_coverage(t):
+    return keyword.term_coverage(_stored(t), t.queries)
+
+
+SIMILAR_SQL = """
+have AS (SELECT r.id, v.embedding FROM v_current r JOIN v_vectors v ON v.record_id = r.id),
+near AS (SELECT round(list_cosine_similarity(a.embedding, b.embedding), 6) AS cosine, a.id AS a_id, b.id AS b_id
+    FROM have a JOIN have b ON a.id < b.id),
+close AS (SELECT * FROM near WHERE cosine >= 0.40)"""
+
+
 def _current_vectors(t):
     current = t.records.where("status NOT IN ('superseded', 'deprecated')").select("id")
     return t.vectors.select(F.col("record_id").alias("id"), "embedding").join(current, "id")
