@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import logs as L
+from .log_tail import tail_lines
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -52,20 +53,19 @@ def parse_lines(lines: DataFrame, checkout: Column) -> DataFrame:
 
 
 def read_command_log(spark: SparkSession, path: str, checkout: str | Column = "", stream: bool = False) -> DataFrame:
-    """The log as a table (S11), or as a stream of newly arriving files.
+    """The log as a table (S11), or as a stream of lines as they are appended.
 
     ``checkout`` may be an expression over ``file``, for folders that hold the logs of several checkouts.  The files of
     a checkout follow each other by their first time, then by name, and ``line_no`` runs through them.  A broken
     last line of a file is a torn write and is dropped; any other broken line fails the job and names the line.
 
-    A stream keeps broken lines, with ``ok`` false and nothing else, as it cannot know a file's last line; its ``line_no``
-    is the line's time in nanoseconds, which orders the lines of a checkout.
+    A stream keeps broken lines, with ``ok`` false and nothing else; a torn last line waits until it is complete.  Its lines
+    are known by ``file`` and ``line_no``, the line's position in bytes, which orders the lines of a file.
     """
     owner = F.lit(checkout) if isinstance(checkout, str) else checkout
     if stream:
-        lines = spark.readStream.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
-        rows = parse_lines(lines.withColumn("line_no", F.lit(None).cast("long")), owner)
-        return rows.withColumn("line_no", F.col("ts_ns")).drop("file")
+        lines = tail_lines(spark, path).where(F.trim("value") != "").withColumnRenamed("position", "line_no")
+        return parse_lines(lines, owner)
     lines = numbered_lines(spark, path).where(F.trim("value") != "")
     rows = parse_lines(lines, owner)
     message = F.concat(F.lit("command log line "), F.col("line_no").cast("string"), F.lit(" is not a JSON object"))

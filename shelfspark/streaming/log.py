@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,70 +13,108 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions import constants as C
 from ..functions import logs as L
 
-PAIR = "checkout string, name string, in_line long, out_line long, in_ts timestamp, out_ts timestamp"
-LINE = "line_no long, ts timestamp"
+PAIR = ("checkout string, name string, in_file string, in_line long, out_file string, out_line long, "
+        "in_ts timestamp, out_ts timestamp")
+LINE = "us long, ns long, file string, line_no long, dir string, name string"
 
 
-def pair_by_id_stream(log: DataFrame, ttl: str = "24 hours") -> DataFrame:
-    """Calls whose lines share an id (X2): an interval join, ``in`` lines without ``out`` appear when the state expires.
+class CallPairing(StatefulProcessor):
+    """Calls of one id, or of one command's lines without ids, in the order of the log.
 
-    ``log[checkout, id, name, dir, line_no, ts]`` streaming.  The expiry is an
-    addition for bounded state.
+    Lines wait until the watermark has passed them, so their order of arrival does not matter.  Then an ``out`` takes the
+    oldest open ``in``, or stands alone; with ids a second ``in`` replaces the first, which stays open.  An ``in`` that found no
+    ``out`` within the expiry is emitted as open.  All of it goes by the times of the lines, so a replay gives the same calls.
     """
-    watched = log.withWatermark("ts", ttl)
-    ins = watched.where("dir = 'in'").select(
-        "checkout", "id", "name", F.col("line_no").alias("in_line"), F.col("ts").alias("in_ts")
-    )
-    outs = watched.where("dir = 'out'").select(
-        F.col("checkout").alias("o_checkout"), F.col("id").alias("o_id"), F.col("line_no").alias("out_line"), F.col("ts").alias("out_ts")
-    )
-    near = F.expr(f"out_ts BETWEEN in_ts AND in_ts + INTERVAL {ttl}")
-    joined = ins.join(outs, (F.col("checkout") == F.col("o_checkout")) & (F.col("id") == F.col("o_id")) & near, "leftOuter")
-    return joined.select("checkout", "name", "in_line", "out_line", "in_ts", "out_ts")
-
 
-class FifoPairing(StatefulProcessor):
-    """Queue of open ``in`` lines per (checkout, command); an ``out`` takes the oldest."""
-
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
+    def __init__(self, expiry_us: int):
+        self.expiry_us = expiry_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getListState("open", LINE, self.ttl_ms) if self.ttl_ms else handle.getListState("open", LINE)
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", LINE)
+        self.open = handle.getListState("open", LINE)
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(-(-us // 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        checkout, name = key
-        lines = pd.concat(list(rows)).sort_values("line_no")
-        queue = list(self.open.get())
-        out = []
-        for line_no, direction, ts in zip(lines["line_no"], lines["dir"], lines["ts"]):
-            if direction == "in":
-                queue.append((int(line_no), ts.to_pydatetime()))
-                continue
-            first = queue.pop(0) if queue else (None, None)
-            out.append((checkout, name, first[0], int(line_no), first[1], ts))
-        self.open.clear()
-        if queue:
-            self.open.put([tuple(q) for q in queue])
-        yield pd.DataFrame(out, columns=["checkout", "name", "in_line", "out_line", "in_ts", "out_ts"]).astype(
-            {"in_line": "Int64", "out_line": "Int64"}
-        )
+        first = None
+        for frame in rows:
+            new = [(int(r[0]), int(r[1]), r[2], int(r[3]), r[4], r[5]) for r in frame[["us", "ns", "file", "line_no", "dir", "name"]].itertuples(index=False)]
+            if new:
+                self.waiting.appendList(new)
+                first = min([x[0] for x in new] + ([] if first is None else [first]))
+        if first is not None:
+            self._wake(first)
+        yield self._frame(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = [tuple(x) for x in self.waiting.get()]
+        ready = sorted((x for x in waiting if x[0] <= now), key=lambda x: x[:4])
+        rest = [x for x in waiting if x[0] > now]
+        queue = deque(tuple(x) for x in self.open.get())
+        calls: list[tuple] = []
+
+        def expire(us: int) -> None:
+            while queue and queue[0][0] + self.expiry_us <= us:
+                calls.append((queue.popleft(), None))
+
+        for line in ready:
+            expire(line[0])
+            if line[4] == "in":
+                if key[1] and queue:
+                    calls.append((queue.popleft(), None))
+                queue.append(line)
+            else:
+                calls.append((queue.popleft() if queue else None, line))
+        expire(now)
+        for state, held in ((self.waiting, rest), (self.open, list(queue))):
+            state.clear()
+            if held:
+                state.put(held)
+        nexts = [x[0] for x in rest] + ([queue[0][0] + self.expiry_us] if queue else [])
+        if nexts:
+            self._wake(min(nexts))
+        yield self._frame(key, calls)
+
+    @staticmethod
+    def _frame(key, calls: list[tuple]) -> pd.DataFrame:
+        rows = []
+        for opened, closed in calls:
+            a, b = opened or (None,) * 6, closed or (None,) * 6
+            rows.append((key[0], (opened or closed)[5], a[2], a[3], b[2], b[3], a[0], b[0]))
+        out = pd.DataFrame(rows, columns=["checkout", "name", "in_file", "in_line", "out_file", "out_line", "in_ts", "out_ts"], dtype="object")
+        for c in ("in_line", "out_line"):
+            out[c] = out[c].astype("Int64")
+        for c in ("in_ts", "out_ts"):
+            out[c] = pd.to_datetime(out[c].astype("Int64"), unit="us", utc=True)
+        return out
 
     def close(self) -> None:
         pass
 
 
-def pair_fifo_stream(log: DataFrame, ttl_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
-    """First in first out pairing of id-less lines (X2); needs the RocksDB state store.
+def pair_calls_stream(log: DataFrame, delay: str = "10 minutes", expiry: str = "24 hours") -> DataFrame:
+    """Calls of a log stream (X2), the twin of pairing in a batch; needs the RocksDB state store.
 
-    Pairing one command's lines is serial by meaning; a micro-batch bounds how
-    many lines one key handles at a time, and old open lines expire.  Expiry by
-    the clock keeps a query running, so an ``availableNow`` run that has to end
-    passes ``ttl_ms=None``.
+    ``log[checkout, id, name, dir, line_no, ts, (ts_ns), (file), (ok)]``.  Returns every call once: with both lines, with a
+    lone ``out``, or with an ``in`` that stayed open for ``expiry``.  A call appears when the watermark, ``delay`` behind the
+    newest line, has passed its ``out``; lines that come later than that are dropped.  Lines that are broken, have no readable
+    time or neither direction take no part.  The state of a key holds its lines of the last ``delay`` and its open calls.
     """
-    lines = log.select("checkout", "name", "line_no", "dir", "ts")
-    return lines.groupBy("checkout", "name").transformWithStateInPandas(
-        FifoPairing(ttl_ms), PAIR, "Append", "ProcessingTime" if ttl_ms else "None"
+    if "ok" in log.columns:
+        log = log.where("ok")
+    micros = F.unix_micros("ts")
+    lines = log.where(F.col("dir").isin("in", "out") & F.col("ts").isNotNull()).select(
+        F.coalesce("checkout", F.lit("")).alias("checkout"), F.coalesce("id", F.lit("")).alias("id"), F.coalesce("name", F.lit("")).alias("name"),
+        "dir", F.coalesce("line_no", F.lit(0).cast("long")).alias("line_no"), "ts",
+        (F.coalesce("file", F.lit("")) if "file" in log.columns else F.lit("")).alias("file"),
+        (F.coalesce("ts_ns", micros * 1000) if "ts_ns" in log.columns else micros * 1000).alias("ns"), micros.alias("us"),
+    ).withColumn("queue", F.when(F.col("id") == "", F.col("name")).otherwise(""))
+    span = lines.sparkSession.sql(f"SELECT unix_micros(timestamp_seconds(0) + INTERVAL {expiry})").first()[0]
+    return lines.withWatermark("ts", delay).groupBy("checkout", "id", "queue").transformWithStateInPandas(
+        CallPairing(span), PAIR, "Append", "EventTime"
     )
 
 

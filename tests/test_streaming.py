@@ -1,16 +1,22 @@
 """Streams against their batch twins, with shuffled arrival."""
 
 import datetime as dt
+import io
 import json
+import os
 import random
+import time
 
 from helpers import T0, records
 from pyspark.sql import functions as F
 
+from shelfspark.functions import logs as L
 from shelfspark.operators import calls as K
 from shelfspark.operators import embedding as E
 from shelfspark.operators.tables import upsert_records
 from shelfspark.sources.command_log import read_command_log
+from shelfspark.sources import log_tail as T
+from shelfspark.sources.log_tail import tail_lines
 from shelfspark.sources.snapshots import read_snapshot
 from shelfspark.streaming import ingest as I
 from shelfspark.streaming import log as S
@@ -74,27 +80,90 @@ def test_absence_streams(spark, tmp_path):
     assert {r.seq for r in got.collect()} - {-1, -2} == alone and alone
 
 
-def test_fifo_stream(spark, tmp_path):
-    rng = random.Random(4)
-    rows = [(rng.choice("ab"), "get", i, rng.choice(["in", "out"]), T0 + dt.timedelta(seconds=i)) for i in range(120)]
-    df = spark.createDataFrame(rows, "checkout string, name string, line_no long, dir string, ts timestamp")
-    want = {(r.checkout, r.in_line, r.out_line) for r in K.pair_fifo(df).where("out_line IS NOT NULL").collect()}
-    got = drain(S.pair_fifo_stream(as_stream(spark, df, tmp_path / "l", 3, None), ttl_ms=None), "fifo", tmp_path)
-    assert {(r.checkout, r.in_line, r.out_line) for r in got.collect()} == want
+def paired(df):
+    return {(r.checkout, r.in_line, r.out_line) for r in df.collect() if r.checkout != "zz"}
 
 
-def test_id_pairing_stream(spark, tmp_path):
+def test_pairing_stream_equals_batch(spark, tmp_path):
+    rng = random.Random(4)
     rows = []
-    for i in range(40):
-        at = T0 + dt.timedelta(minutes=i)
-        rows.append(("", f"c{i}", "get", "in", 2 * i, at))
-        if i % 4:
-            rows.append(("", f"c{i}", "get", "out", 2 * i + 1, at + dt.timedelta(seconds=5)))
-    rows += [("zz", "z1", "get", "in", 900, END), ("zz", "z2", "get", "out", 901, END)]
+    for i in range(240):
+        known = rng.random() < 0.5
+        rows.append((rng.choice("ab"), f"c{rng.randrange(30)}" if known else "", "get", rng.choice(["in", "out"]), i, T0 + dt.timedelta(seconds=i // 2)))
     df = spark.createDataFrame(rows, "checkout string, id string, name string, dir string, line_no long, ts timestamp")
-    want = {(r.in_line, r.out_line) for r in K.pair_by_id(df.where("checkout = ''")).collect()}
-    got = drain(S.pair_by_id_stream(as_stream(spark, df, tmp_path / "l", 1)), "by_id", tmp_path)
-    assert {(r.in_line, r.out_line) for r in got.collect() if r.checkout == ""} == want
+    want = paired(K.pair_by_id(df.where("id <> ''"))) | paired(K.pair_fifo(df.where("id = ''")))
+    assert {(a is None, b is None) for _, a, b in want} == {(False, False), (True, False), (False, True)}  # pairs, lone replies, open calls
+    last = spark.createDataFrame([("zz", "", "get", "in", 0, END)], df.schema)
+    stream = as_stream(spark, df, tmp_path / "l", 3)  # shuffled
+    last.coalesce(1).write.mode("append").parquet(str(tmp_path / "l"))
+    got = drain(S.pair_calls_stream(stream, "1 hour"), "paired", tmp_path)
+    assert paired(got) == want and got.where("checkout <> 'zz'").count() == len(want)
+
+
+def test_pairing_stream_leaves_broken_lines_out(spark, tmp_path):
+    folder = tmp_path / "log"
+    folder.mkdir()
+    text = [json.dumps({"ts": f"2026-01-05T12:00:0{i}.12345678{i % 3}Z", "dir": d, "command": "shelf get", **k}) for i, (d, k) in enumerate(
+        [("in", {}), ("in", {"id": "x"}), ("out", {}), ("out", {"id": "x"}), ("out", {"id": "y"}), ("aside", {})])]
+    text.insert(2, "not json")
+    text.insert(4, "[1]")
+    (folder / "a.jsonl").write_text("\n".join(text) + "\n" + json.dumps({"ts": "no time", "dir": "in", "command": "get"}) + "\n")
+    (folder / "z.jsonl").write_text(json.dumps({"ts": "2027-01-01T00:00:00Z", "dir": "in", "command": "get"}) + "\n")
+    log = read_command_log(spark, str(folder), "/a", stream=True).withColumn("name", L.base_command(F.col("command")))
+    # a tail ends an availableNow run after one batch, so the batch that the watermark asks for needs a running query
+    q = S.pair_calls_stream(log, "1 minute", "1 hour").writeStream.format("memory").queryName("unbroken").option("checkpointLocation", str(tmp_path / "ck")).start()
+    until = time.time() + 120
+    while spark.table("unbroken").count() < 3 and time.time() < until:
+        q.processAllAvailable()
+    q.stop()
+    got = spark.table("unbroken").collect()
+    at = {line: sum(len(t) + 1 for t in text[:i]) for i, line in enumerate(text)}
+    places = [at[t] for t in text]
+    assert sorted(((r.in_line, r.out_line) for r in got), key=str) == sorted([(places[0], places[3]), (places[1], places[5]), (None, places[6])], key=str)
+    assert {r.name for r in got} == {"get"} and {r.in_file or r.out_file for r in got} == {str(folder / "a.jsonl")}
+
+
+def test_open_calls_expire(spark, tmp_path):
+    hour = dt.timedelta(hours=1)
+    rows = [("a", "", "get", "in", 1, T0), ("a", "", "get", "in", 2, T0 + 3 * hour), ("a", "", "get", "out", 3, T0 + 4 * hour),
+            ("a", "k", "get", "in", 4, T0), ("a", "k", "get", "out", 5, T0 + 2 * hour), ("zz", "", "get", "in", 6, END)]
+    rows.sort(key=lambda r: r[5])
+    df = spark.createDataFrame(rows, "checkout string, id string, name string, dir string, line_no long, ts timestamp")
+    got = drain(S.pair_calls_stream(as_stream(spark, df, tmp_path / "l", 6, None), "10 minutes", "2 hours"), "expired", tmp_path)
+    assert paired(got) == {("a", 1, None), ("a", 2, 3), ("a", 4, None), ("a", None, 5)}
+
+
+def test_tail_waits_for_the_rest_of_a_line(spark, tmp_path):
+    folder = tmp_path / "log"
+    folder.mkdir()
+    (folder / "a.log").write_bytes(b"one\ntwo")
+    (folder / "_temporary").write_bytes(b"no\n")
+
+    def run():
+        lines = tail_lines(spark, str(folder))
+        q = lines.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        assert q.awaitTermination(240)
+        return sorted((os.path.basename(r.file), r.position, r.value) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == [("a.log", 0, "one")]
+    with open(folder / "a.log", "ab") as f:
+        f.write(b" and more\n\nthr")
+    (folder / "b.log").write_bytes("ünï\n".encode())
+    assert run() == [("a.log", 0, "one"), ("a.log", 4, "two and more"), ("a.log", 17, ""), ("b.log", 0, "ünï")]
+    (folder / "b.log").write_bytes(b"x\n")  # replaced by a shorter file
+    assert ("b.log", 0, "x") in run()
+
+
+def test_ranges_of_a_file_meet_at_lines():
+    rng = random.Random(3)
+    text = b"".join(bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 12))) + b"\n" for _ in range(60))
+    whole = list(T.lines_between(io.BytesIO(text), 0, len(text), len(text)))
+    assert [v for _, v in whole] == text.split(b"\n")[:-1] and all(text[p : p + len(v)] == v for p, v in whole)
+    for size in (1, 5, 7, 64, 10_000):
+        parts = [x for a in range(0, len(text), size) for x in T.lines_between(io.BytesIO(text), a, min(a + size, len(text)), len(text))]
+        assert parts == whole
+    assert T.last_line_end(io.BytesIO(text + b"torn"), 0, len(text) + 4) == len(text)
+    assert T.last_line_end(io.BytesIO(b"torn"), 0, 4) == 0
 
 
 def test_call_counts_stream(spark, tmp_path):
