@@ -7,9 +7,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import constants as C
 from ..operators import embedding as E
-from ..operators.tables import apply_plan, last_per, plan_upserts
+from ..operators.tables import last_per, plan_upserts
 from ..schemas import ATTEMPTS, RECORDS
-from ..sources.snapshots import read_snapshot, write_snapshot
+from ..sources.deltas import read_table, write_delta
 
 VECTORS = "key string, text_hash string, model string, dim int, embedding array<float>"
 
@@ -19,21 +19,17 @@ def _start(stream: DataFrame, each, checkpoint: str, trigger: dict | None) -> St
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def ingest_stream(updates: DataFrame, base_path: str, checkpoint: str, now, trigger: dict | None = None,
-                  partition_by: tuple[str, ...] = ("checkout",)) -> StreamingQuery:
-    """Upsert every micro-batch of record updates into the snapshot at ``base_path``.
+def ingest_stream(updates: DataFrame, base_path: str, checkpoint: str, now, trigger: dict | None = None) -> StreamingQuery:
+    """Upsert every micro-batch of record updates into the table at ``base_path`` (X7), see ``sources.deltas``.
 
-    The version is the batch id and builds on the versions before it, so a
-    replayed batch gives the same snapshot; an update with an unchanged hash
-    changes nothing.
+    A batch writes the buckets of the records that it changes and nothing else.  The version is the batch id and
+    builds on the versions before it, so a replayed batch gives the same table; an update with an unchanged hash changes nothing.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        base = read_snapshot(spark, base_path, batch_id + 1)
-        if base is None:
-            base = spark.createDataFrame([], RECORDS)
-        fresh = apply_plan(base, plan_upserts(base, batch, now))
-        write_snapshot(fresh, base_path, batch_id + 1, partition_by)
+        version = batch_id + 1
+        base = read_table(batch.sparkSession, base_path, RECORDS, ["id"], version)
+        plan = plan_upserts(base, batch, now).where("action <> 'unchanged'").drop("action")
+        write_delta(plan, base_path, ["id"], version)
 
     return _start(updates, each, checkpoint, trigger)
 
@@ -45,30 +41,30 @@ def embed_stream(items: DataFrame, vectors_path: str, attempts_path: str, embedd
     Failures are tried again until they succeed or reach ``max_attempts``, which
     empties the queue.  An item written again after a give-up starts over.  Every
     attempt is written before anything is derived from it, so the embedder never
-    runs twice for one attempt.
+    runs twice for one attempt.  A batch writes its own vectors and attempts as deltas
+    of both tables, and removes the attempts of items that succeeded.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         version = batch_id + 1
-        vectors = read_snapshot(spark, vectors_path, version)
-        if vectors is None:
-            vectors = spark.createDataFrame([], VECTORS)
-        attempts = read_snapshot(spark, attempts_path, version)
-        if attempts is None:
-            attempts = spark.createDataFrame([], ATTEMPTS)
-        attempts = E.requeue_rewritten(attempts, batch)
-        todo = E.embed_worklist(last_per(batch, ["key"]), vectors, model, dim)
+        wanted = last_per(batch, ["key"])
+        keys = wanted.select("key")
+        vectors = read_table(spark, vectors_path, VECTORS, ["key"], version)
+        before = read_table(spark, attempts_path, ATTEMPTS, ["key"], version).join(keys, "key", "left_semi")
+        attempts = E.requeue_rewritten(before, batch)
+        fresh = spark.createDataFrame([], VECTORS)
+        todo = E.embed_worklist(wanted, vectors, model, dim)
         for turn in range(max_attempts):
             folder = f"{vectors_path}/results-{batch_id}-{turn}"
             E.embed(todo, embedder).write.mode("overwrite").parquet(folder)
             results = spark.read.parquet(folder)
-            vectors = E.store_vectors(vectors, results, model)
+            fresh = E.store_vectors(fresh, results, model)
             attempts = E.apply_results(attempts, results, max_attempts)
             failed = results.where("error IS NOT NULL").select("key")
             if not failed.limit(1).collect():
                 break
-            todo = last_per(batch, ["key"]).join(failed, "key", "left_semi")
-        write_snapshot(vectors, vectors_path, version)
-        write_snapshot(attempts, attempts_path, version)
+            todo = wanted.join(failed, "key", "left_semi")
+        write_delta(fresh, vectors_path, ["key"], version)
+        write_delta(attempts, attempts_path, ["key"], version, before.select("key").join(attempts.select("key"), "key", "left_anti"))
 
     return _start(items, each, checkpoint, trigger)

@@ -1,6 +1,7 @@
 """Streams against their batch twins, with shuffled arrival."""
 
 import datetime as dt
+import glob
 import io
 import json
 import os
@@ -15,9 +16,10 @@ from shelfspark.operators import calls as K
 from shelfspark.operators import embedding as E
 from shelfspark.operators.tables import upsert_records
 from shelfspark.sources.command_log import read_command_log
+from shelfspark.schemas import ATTEMPTS, RECORDS
+from shelfspark.sources import deltas as D
 from shelfspark.sources import log_tail as T
 from shelfspark.sources.log_tail import tail_lines
-from shelfspark.sources.snapshots import read_snapshot
 from shelfspark.streaming import ingest as I
 from shelfspark.streaming import log as S
 
@@ -199,11 +201,60 @@ def test_ingest_stream_with_replay(spark, tmp_path):
     stream = as_stream(spark, docs, tmp_path / "in", 2, None)
     base = str(tmp_path / "base")
     I.ingest_stream(stream, base, str(tmp_path / "ck"), now).awaitTermination(240)
-    first = read_snapshot(spark, base)
+    first = D.read_table(spark, base, RECORDS, ["id"])
     assert sorted(r.id for r in first.collect()) == [f"r{i}" for i in range(6)]
     # a lost checkpoint replays every batch: the same rows again change nothing
     again = upsert_records(first, docs, F.lit(END + dt.timedelta(days=1)).cast("timestamp"))
     assert {r.updated_at for r in again.collect()} == {END}
+    manifest = D.read_manifest(spark, base)
+    I.ingest_stream(stream, base, str(tmp_path / "ck2"), now).awaitTermination(240)
+    assert [(p.bucket, p.version, p.n) for p in D.read_manifest(spark, base)] == [(p.bucket, p.version, p.n) for p in manifest]
+    assert sorted(map(tuple, D.read_table(spark, base, RECORDS, ["id"]).collect())) == sorted(map(tuple, first.collect()))
+
+
+ROW = "k string, part int, v string"
+
+
+def test_delta_table_against_a_dictionary(spark, tmp_path):
+    rng = random.Random(6)
+    base, want = str(tmp_path / "t"), {}
+    assert D.read_table(spark, base, ROW, ["k", "part"]).count() == 0
+    history = []
+    for version in range(1, 8):
+        put = {(f"k{rng.randrange(40)}", rng.randrange(2)): f"v{version}" for _ in range(rng.choice([0, 1, 12]))}
+        drop = [k for k in rng.sample(sorted(want), min(len(want), 3)) if k not in put]
+        changes = spark.createDataFrame([(*k, v) for k, v in put.items()], ROW)
+        gone = spark.createDataFrame(drop, "k string, part int")
+        D.write_delta(changes, base, ["k", "part"], version, gone, buckets=4, max_deltas=3)
+        want = {k: v for k, v in {**want, **put}.items() if k not in drop}
+        history.append(dict(want))
+        got = {(r.k, r.part): r.v for r in D.read_table(spark, base, ROW, ["k", "part"]).collect()}
+        assert got == want
+    assert max(sum(p.bucket == b for p in D.read_manifest(spark, base)) for b in range(4)) <= 3  # longer ones were compacted
+    for version, rows in enumerate(history, 1):  # every version can still be read
+        assert {(r.k, r.part): r.v for r in D.read_table(spark, base, ROW, ["k", "part"], version + 1).collect()} == rows
+    assert D.vacuum(spark, base) > 0
+    assert {(r.k, r.part): r.v for r in D.read_table(spark, base, ROW, ["k", "part"]).collect()} == want
+
+
+def test_a_delta_touches_only_its_buckets(spark, tmp_path):
+    base = str(tmp_path / "t")
+    D.write_delta(spark.createDataFrame([(f"k{i}", 0, "old") for i in range(200)], ROW), base, ["k"], 1, buckets=8)
+    assert D.write_delta(spark.createDataFrame([("k7", 0, "new")], ROW), base, ["k"], 2, buckets=8).__len__() == 1
+    assert len(glob.glob(f"{base}/data/*/version=4/bucket=*")) == 1
+    D.write_delta(spark.createDataFrame([("k7", 0, "new")], ROW), base, ["k"], 2, buckets=8)  # a replay
+    table = D.read_table(spark, base, ROW, ["k"])
+    assert table.count() == 200 and table.where("v = 'new'").count() == 1
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan  # bases are not shuffled
+
+
+def test_an_unfinished_write_is_not_seen(spark, tmp_path):
+    base = str(tmp_path / "t")
+    D.write_delta(spark.createDataFrame([("a", 0, "1")], ROW), base, ["k"], 1)
+    D.write_delta(spark.createDataFrame([("a", 0, "2")], ROW), base, ["k"], 2)
+    os.remove(f"{base}/manifest/v2/_SUCCESS")
+    assert [r.v for r in D.read_table(spark, base, ROW, ["k"]).collect()] == ["1"]
 
 
 def test_embed_stream(spark, tmp_path):
@@ -218,5 +269,11 @@ def test_embed_stream(spark, tmp_path):
     items = as_stream(spark, E.worklist_items(recs), tmp_path / "items", 1)
     vec, att = str(tmp_path / "vec"), str(tmp_path / "att")
     I.embed_stream(items, vec, att, embedder, "m", 4, str(tmp_path / "ck"), max_attempts=3).awaitTermination(240)
-    assert sorted(r.key for r in read_snapshot(spark, vec).collect()) == ["a", "c"]
-    assert [(r.key, r.attempts, r.state) for r in read_snapshot(spark, att).collect()] == [("b", 3, "giveup")]
+    assert sorted(r.key for r in D.read_table(spark, vec, I.VECTORS, ["key"]).collect()) == ["a", "c"]
+    assert [(r.key, r.attempts, r.state) for r in D.read_table(spark, att, ATTEMPTS, ["key"]).collect()] == [("b", 3, "giveup")]
+    # the same item in the next batch succeeds: its attempts go, the other vectors stay as they are
+    manifest = D.read_manifest(spark, vec)
+    E.worklist_items(recs).where("key = 'b'").coalesce(1).write.mode("append").parquet(str(tmp_path / "items"))
+    I.embed_stream(items, vec, att, plain, "m", 4, str(tmp_path / "ck"), max_attempts=3).awaitTermination(240)
+    assert sorted(r.key for r in D.read_table(spark, vec, I.VECTORS, ["key"]).collect()) == ["a", "b", "c"]
+    assert D.read_table(spark, att, ATTEMPTS, ["key"]).count() == 0 and len(D.read_manifest(spark, vec)) == len(manifest) + 1
