@@ -220,8 +220,13 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> Da
     matched = written(map_batches(kept, lambda b: _match(b, lambda: _Matcher(groups, sums, langs, top)), SUMS), "divergences")
     pairs = found.join(found.withColumnRenamed("source", "item"), "lang").where("source <> item").join(
         matched.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value")), ["lang", "source", "item"], "left")
-    both = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0).cast("long")).alias("value")).union(
-        matched.where("part = 'term'").select("lang", "source", "part", "item", "value"))
-    order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    ranked = both.withColumn("rank", F.row_number().over(order))
-    return ranked.where((F.col("part") == "pair") | (F.col("rank") <= top))
+    shown = ["lang", "source", "part", "item", "value"]
+    pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
+    # a first cut in parts of the terms, so that no source gathers what every task found
+    parts = _ranked(matched.where("part = 'term'").select(*shown), [F.pmod(F.xxhash64("item"), F.lit(16))]).where(F.col("rank") <= top)
+    return _ranked(pairs, []).union(_ranked(parts.select(*shown), []).where(F.col("rank") <= top))
+
+
+def _ranked(rows: DataFrame, more: list) -> DataFrame:
+    order = Window.partitionBy("lang", "source", *more).orderBy(F.desc("value"), "item")
+    return rows.withColumn("rank", F.row_number().over(order))
