@@ -60,6 +60,8 @@ CLASSES = (
 #: Order of kinds that start at the same place.
 KINDS = ("assign", "access", "hex", *[c.kind for c in CLASSES])
 SCALE = 1 << 20
+#: Characters of a run that are looked at together.
+PAGE = 256
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -90,7 +92,27 @@ def known_spans(text: Column) -> Column:
 
 
 def _window_places(s: Column, window: int, bits: float) -> Column:
-    """Last places of the windows of ``s`` whose entropy is at least ``bits``."""
+    """Last places of the windows of ``s`` whose entropy is at least ``bits``.
+
+    A long run is looked at page by page, each with the ``window`` - 1 characters before it, so that every window lies
+    in one piece and the time is linear in the run: a character of a piece is reached without a walk through the run.
+    """
+    page = max(PAGE, window)
+
+    def piece(pages: Column, k: Column) -> Column:
+        before = F.when(k > 0, F.right(F.get(pages, k - 1), F.lit(window - 1))).otherwise("")
+        return F.concat(before, F.get(pages, k))
+
+    def places(pages: Column, k: Column) -> Column:
+        shift = F.when(k > 0, k * page - (window - 1)).otherwise(0)
+        return let(shift, lambda d: F.transform(let(piece(pages, k), lambda x: _places_of_piece(x, window, bits)), lambda i: i + d))
+
+    return let(F.regexp_extract_all(s, F.lit(f"(?s).{{1,{page}}}"), F.lit(0)),
+               lambda pages: F.flatten(F.transform(F.sequence(F.lit(0), F.size(pages) - 1), lambda k: places(pages, k))))
+
+
+def _places_of_piece(s: Column, window: int, bits: float) -> Column:
+    """As ``_window_places``, by running sums over the whole piece."""
     parts = F.array(*[F.lit(round(c * math.log2(c) * SCALE) if c else 0).cast("long") for c in range(window + 1)])
     most = round((math.log2(window) - bits) * window * SCALE)  # entropy = log2(window) - sum(c log2 c) / window
     inside = lambda x, c: F.char_length(x) - F.char_length(F.replace(x, c, F.lit("")))
