@@ -23,6 +23,8 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,9 +38,7 @@ MAX_PAGES = 100
 #: Blocks of one page used in training: a bounded cost for very long pages; decoding has no such bound.
 MAX_BLOCKS = 200
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+HEAD = re.compile(r"<(?:(?P<comment>!--)|(?P<data>!\[CDATA\[)|(?P<other>[!?])|(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*))")
 NAMED = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -55,43 +55,141 @@ ARTICLE = frozenset("article main".split())
 ASIDE = frozenset("nav aside footer form button menu dialog".split())
 
 
-_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
-_SKIPS = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(sorted(RAW))})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z))"
-    rf"|<(?P<end>/?)(?P<tag>{'|'.join(sorted(SKIPPED))})(?=[\s/>])(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+#: Tags that end the one before them.
+FOLLOWING = frozenset("p li dt dd tr td th option".split())
 
 
-def skips(page: str) -> dict[int, int]:
-    """Where the start tags of SKIPPED elements end, and where their matching end tags end."""
+class _TagEnds:
+    """Where a tag ends: at the first ``>`` outside quotes.  Found for all places at once, from the page's end, so that tags
+    without an end cost no more than others."""
+
+    def __init__(self, page: str):
+        self.places = [m.start() for m in re.finditer("[>\"']", page)]
+        self.ends = [-1] * (len(self.places) + 1)
+        after: dict[str, int] = {}  # the next quote of each kind
+        for i in range(len(self.places) - 1, -1, -1):
+            c = page[self.places[i]]
+            if c == ">":
+                self.ends[i] = self.places[i]
+            else:
+                self.ends[i] = self.ends[after[c] + 1] if c in after else -1
+                after[c] = i
+
+    def of(self, at: int) -> int:
+        """End of a tag whose name ends at ``at``, or -1."""
+        return self.ends[bisect_left(self.places, at)]
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start, end, tag, whether it is an end tag, and attributes of everything that is not text, in time linear in the page.
+
+    Comments and declarations have an empty tag.  The content of RAW elements belongs to their start tag."""
+    ends, at, last = _TagEnds(page), 0, page.rfind(">")
+    while m := HEAD.search(page, at):
+        start, at = m.start(), m.end()
+        tag = (m["tag"] or "").lower()
+        if not tag:
+            mark = "-->" if m["comment"] else "]]>" if m["data"] else ">"
+            if m["other"] and last < at:
+                continue  # no declaration without an end
+            end = page.find(mark, at)
+            at = len(page) if end < 0 else end + len(mark)
+            yield start, at, "", False, ""
+            continue
+        end = ends.of(at)
+        if end < 0:
+            at = start + 1
+            continue
+        attrs, at = page[at:end], end + 1
+        if tag in RAW and not m["end"] and not attrs.endswith("/"):
+            close = _RAW_END[tag].search(page, at)
+            end = page.find(">", close.end()) if close else -1
+            at = len(page) if end < 0 else end + 1
+        yield start, at, tag, bool(m["end"]), attrs
+
+
+def skips(found: list[tuple[int, int, str, bool, str]]) -> dict[int, int]:
+    """For each start tag of a SKIPPED element, by its place in the tokens, the place of its matching end tag."""
     out: dict[int, int] = {}
     opened: dict[str, list[int]] = {t: [] for t in SKIPPED}
-    for m in _SKIPS.finditer(page):
-        if not m["tag"]:
-            continue
-        starts = opened[m["tag"].lower()]
-        if not m["end"]:
-            if not m["attrs"].endswith("/"):
-                starts.append(m.end())
-        elif starts:
-            out[starts.pop()] = m.end()
+    for i, (_, _, tag, ends, attrs) in enumerate(found):
+        if tag in SKIPPED:
+            if not ends:
+                if not attrs.endswith("/"):
+                    opened[tag].append(i)
+            elif opened[tag]:
+                out[opened[tag].pop()] = i
     return out
 
 
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]
+    tags: frozenset[str]
+    parent: str
     names: frozenset[str]
     linked: float
     features: list[str] = field(default_factory=list)
 
 
-def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks of a page in order."""
+class _Ancestors:
+    """Open elements, with counts of their tags and names; only those in ``known`` are counted if it is given."""
+
+    def __init__(self, known: tuple[frozenset[str], frozenset[str]] | None):
+        self.known = known
+        self.stack: list[tuple[str, list[str]]] = []
+        self.places: dict[str, list[int]] = {}  # of each open tag
+        self.outer: list[int] = []  # of the tags that are not inline
+        self.tags: Counter = Counter()
+        self.names: Counter = Counter()
+
+    def push(self, tag: str, attrs: str) -> None:
+        names = WORD.findall(" ".join("".join(v) for v in NAMED.findall(attrs)).lower()) if attrs else []
+        if self.known:
+            names = [n for n in names if n in self.known[1]]
+        if tag not in INLINE:
+            self.outer.append(len(self.stack))
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, names))
+        if not self.known or tag in self.known[0]:
+            self.tags[tag] += 1
+        self.names.update(names)
+
+    def cut(self, size: int) -> None:
+        """Close all but the outermost ``size`` elements."""
+        while len(self.stack) > size:
+            tag, names = self.stack.pop()
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.outer.pop()
+            for counts, items in ((self.tags, [tag]), (self.names, names)):
+                for x in items:
+                    if counts[x] > 1:
+                        counts[x] -= 1
+                    else:
+                        counts.pop(x, None)
+
+    def close(self, tag: str) -> None:
+        """An end tag; an inline one closes nothing outside its block."""
+        open_at = self.places.get(tag)
+        if open_at and (tag not in INLINE or not self.outer or open_at[-1] > self.outer[-1]):
+            self.cut(open_at[-1])
+
+    def follow(self, tag: str) -> None:
+        """A new one ends the one before, if no other block lies between."""
+        open_at = self.places.get(tag)
+        if open_at and open_at[-1] == self.outer[-1]:
+            self.cut(open_at[-1])
+
+
+def blocks(page: str | None, known: tuple[frozenset[str], frozenset[str]] | None = None) -> list[Block]:
+    """Leaf blocks of a page in order; of their ancestors' tags and names only the ``known`` ones if that is given."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    above = _Ancestors(known)
     held: list[tuple[str, bool]] = []
-    page, at = page or "", 0
+    page = page or ""
+    found = list(tokens(page))
     ends: dict[int, int] | None = None  # made when a page needs it
 
     def close() -> None:
@@ -99,48 +197,35 @@ def blocks(page: str | None) -> list[Block]:
             text = " ".join("".join(t for t, _ in held).split())
             if text:
                 linked = sum(len(t) for t, a in held if a) / max(1, sum(len(t) for t, _ in held))
-                out.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*[n for _, n in stack]), linked))
+                parent = above.stack[above.outer[-1]][0] if above.outer else ""
+                out.append(Block(text, frozenset(above.tags), parent, frozenset(above.names), linked))
             held.clear()
 
     def add(text: str) -> None:
         if text:
-            held.append((entities.unescape(text), any(t == "a" for t, _ in stack)))
-
-    while at < len(page):
-        m = TOKEN.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
+            held.append((entities.unescape(text), bool(above.places.get("a"))))
+
+    at = i = 0
+    while i < len(found):
+        start, end, tag, closing, attrs = found[i]
+        add(page[at:start])
+        at, i = end, i + 1
         if not tag:
             continue
         if tag not in INLINE:
             close()
-        if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break  # an inline end tag closes nothing outside its block
-        elif tag in RAW and not m["attrs"].endswith("/"):
-            end = _RAW_END[tag].search(page, at)
-            at = end.end() if end else len(page)
-        elif tag in SKIPPED and not m["attrs"].endswith("/"):
-            ends = skips(page) if ends is None else ends
-            at = ends.get(at, at)
-        elif tag not in VOID and not m["attrs"].endswith("/"):
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # a new one ends the one before
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-            values = " ".join("".join(v) for v in NAMED.findall(m["attrs"])) if m["attrs"] else ""
-            stack.append((tag, frozenset(WORD.findall(values.lower()))))
+        if closing:
+            above.close(tag)
+        elif tag in SKIPPED and not attrs.endswith("/"):
+            ends = skips(found) if ends is None else ends
+            if i - 1 in ends:
+                i = ends[i - 1]
+                at, i = found[i][1], i + 1
+        elif tag not in VOID and tag not in RAW and not attrs.endswith("/"):
+            if tag in FOLLOWING:
+                above.follow(tag)
+            above.push(tag, attrs)
+    add(page[at:])
     close()
     return out
 
@@ -151,8 +236,8 @@ def featurise(found: list[Block]) -> list[Block]:
         words = b.text.split()
         ends = sum(w[-1] in ".!?…" for w in words)
         b.features = [
-            "bias", *{f"in:{t}" for t in b.tags}, *{f"name:{w}" for w in b.names},
-            f"parent:{next((t for t in reversed(b.tags) if t not in INLINE), '')}",
+            "bias", *[f"in:{t}" for t in sorted(b.tags)], *[f"name:{w}" for w in sorted(b.names)],
+            f"parent:{b.parent}",
             f"words:{min(6, len(words).bit_length())}", f"linked:{min(3, int(b.linked * 4))}",
             f"ends:{min(3, ends)}",
             *(["rights"] if re.search(r"©|\(c\)|all rights|copyright", b.text, re.I) else []),
@@ -188,8 +273,12 @@ class Field:
             out.append(bool(label))
         return out[::-1]
 
-    def text(self, page: str | None) -> str:
-        found = featurise(blocks(page))
+    def known(self) -> tuple[frozenset[str], frozenset[str]]:
+        """Tags and names that have a weight; others change no score."""
+        return tuple(frozenset(f[len(kind):] for f in self.weights if f.startswith(kind)) for kind in ("in:", "name:"))
+
+    def text(self, page: str | None, known: tuple[frozenset[str], frozenset[str]] | None = None) -> str:
+        found = featurise(blocks(page, known))
         return " ".join(b.text for b, keep in zip(found, self.decode(found)) if keep)
 
 
@@ -294,7 +383,7 @@ def layout_pages(n: int = 240, seed: int = 11) -> list[tuple[list[list[str]], li
 def marked_page(page: str) -> tuple[list[Block], list[int]] | None:
     """Blocks and labels of a page that marks its article with a tag, else nothing."""
     found = featurise(blocks(page))[:MAX_BLOCKS]
-    labels = [int(bool(ARTICLE & {*b.tags}) and not ASIDE & {*b.tags}) for b in found]
+    labels = [int(bool(ARTICLE & b.tags) and not ASIDE & b.tags) for b in found]
     return (found, labels) if 0 < sum(labels) else None
 
 
@@ -323,8 +412,10 @@ def extract(pages: DataFrame, model: Field, html: str = "html", id_col: str = "p
     held = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        model = held.value
+        known = model.known()
         for page_id, link, page in rows:
-            yield page_id, link, held.value.text(page)
+            yield page_id, link, model.text(page, known)
 
     return map_rows(pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url).alias("_url"), F.col(html).alias("_html")), run,
                     "page_id long, url string, text string", lambda r: 100 + len(r[2]))

@@ -4,7 +4,10 @@ import base64
 import glob
 import gzip
 import hashlib
+import random
+import time
 
+import numpy as np
 import pytest
 
 from shelfspark.llm import extraction, warc
@@ -97,7 +100,7 @@ def test_field_on_layouts_it_has_not_seen():
     model = extraction.train(extraction.layout_pages(160))
     right = every = 0
     for features, labels in extraction.layout_pages(60, seed=99):
-        got = model.decode([extraction.Block("", (), frozenset(), 0.0, f) for f in features])
+        got = model.decode([extraction.Block("", frozenset(), "", frozenset(), 0.0, f) for f in features])
         right += sum(int(a) == b for a, b in zip(got, labels))
         every += len(labels)
     assert right > 0.95 * every
@@ -106,14 +109,12 @@ def test_field_on_layouts_it_has_not_seen():
 def test_viterbi_finds_the_best_labels():
     import itertools
 
-    import numpy as np
-
     rng = np.random.default_rng(0)
     for _ in range(30):
         n = int(rng.integers(1, 8))
         weights = {f"f{i}": float(rng.normal()) for i in range(n)}
         model = extraction.Field(weights, rng.normal(size=(2, 2)))
-        found = [extraction.Block("", (), frozenset(), 0.0, [f"f{i}"]) for i in range(n)]
+        found = [extraction.Block("", frozenset(), "", frozenset(), 0.0, [f"f{i}"]) for i in range(n)]
 
         def score(y):
             return sum(weights[f"f{i}"] for i in range(n) if y[i]) + sum(model.pairs[a, b] for a, b in zip(y, y[1:]))
@@ -124,3 +125,42 @@ def test_viterbi_finds_the_best_labels():
         total = sum(np.exp(score(y)) for y in itertools.product((0, 1), repeat=n))
         for i in range(n):
             assert abs(p1[i] - sum(np.exp(score(y)) for y in itertools.product((0, 1), repeat=n) if y[i]) / total) < 1e-9
+
+
+def test_ends_of_tags():
+    rng = random.Random(3)
+    for _ in range(300):
+        page = "".join(rng.choice("ab >\"'<") for _ in range(rng.randint(0, 40)))
+        ends = extraction._TagEnds(page)
+        for at in range(len(page) + 1):
+            i, quote = at, ""
+            while i < len(page) and (quote or page[i] != ">"):
+                if page[i] == quote:
+                    quote = ""
+                elif not quote and page[i] in "\"'":
+                    quote = page[i]
+                i += 1
+            assert ends.of(at) == (i if i < len(page) else -1)
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<div class=c><p>x", "<b>", "<!x", "<script ", "</div", "<svg><p>x", "<x1>y", "<script>a</script b ",
+                                  "<i><div><b><b></i>", "<!--", "<li><b>x</li "])
+def test_malformed_pages_take_linear_time(unit):
+    model = extraction.Field({"in:p": 1.0, "name:c": 1.0}, np.zeros((2, 2)))
+
+    def seconds(size):
+        start = time.process_time()
+        model.text(unit * (size // len(unit)), model.known())
+        return time.process_time() - start
+
+    assert seconds(1_600_000) < 16 * max(0.1, seconds(400_000))  # four times the page; quadratic work would be sixteen times
+
+
+def test_blocks_know_their_ancestors():
+    page = "<body><div class='post main'><p id=x>one <b>two</b><p>three</div><aside><ul><li>four<li><i>five</aside>six</body>"
+    found = extraction.blocks(page)
+    assert [b.text for b in found] == ["one two", "three", "four", "five", "six"]
+    assert [b.parent for b in found] == ["p", "p", "li", "li", "body"]
+    assert found[0].tags == {"body", "div", "p"} and found[0].names == {"post", "main", "x"} and found[4].tags == {"body"}
+    few = extraction.blocks(page, (frozenset(["p"]), frozenset(["main"])))
+    assert [b.text for b in few] == [b.text for b in found] and few[0].tags == {"p"} and few[0].names == {"main"} and few[4].names == set()
