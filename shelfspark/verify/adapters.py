@@ -158,11 +158,11 @@ class Tables:
 
     @cached_property
     def in_out(self) -> DataFrame:
-        """Id-less log lines: a view opens, a click closes."""
-        return self.raw("events").where(F.col("event_type").isin("view", "click")).select(
+        """Id-less log lines: a view, signup or purchase opens, a click or error closes."""
+        return self.raw("events").select(
             F.col("user_id").cast("string").alias("checkout"), F.col("event_id").alias("line_no"),
             F.lit("").alias("id"), F.lit("search").alias("name"),
-            F.when(F.col("event_type") == "view", "in").otherwise("out").alias("dir"), F.col("ts"),
+            F.when(F.col("event_type").isin("click", "error"), "out").otherwise("in").alias("dir"), F.col("ts"),
         )
 
     @cached_property
@@ -221,8 +221,7 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                     + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in COMMAND_BY_EVENT.items())
                     + " END AS name, ts AS called_at, epoch_us(ts) AS at_us, 'rec_' || json_extract_string(props, '$.k') AS hit_id FROM events"),
     "v_in_out": ((), "SELECT CAST(user_id AS VARCHAR) AS checkout, event_id AS line_no, "
-                     "CASE WHEN event_type = 'view' THEN 'in' ELSE 'out' END AS dir, ts FROM events "
-                     "WHERE event_type IN ('view', 'click')"),
+                     "CASE WHEN event_type IN ('click', 'error') THEN 'out' ELSE 'in' END AS dir, ts FROM events"),
     "v_links": ((), "SELECT CASE c_custkey % 3 WHEN 0 THEN 'pin' WHEN 1 THEN 'record' ELSE 'repo' END AS kind, "
                     "CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END AS from_checkout, "
                     "CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'rec_' || c_custkey END AS from_id, c_mktsegment AS to_root, "

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..operators import calls, evaluate
 from ..operators.evaluate import Rule
+from ..session import ROCKSDB_PROVIDER, new_folder
+from ..streaming.log import pair_calls_stream
 from .adapters import with_views
 from .registry import query
 
@@ -31,6 +33,36 @@ def paired_fifo_calls(t):
     return calls.pair_fifo(t.in_out)
 
 
+@query("streamed_calls", "X2 N8", with_views("v_in_out", FIFO_SQL + """
+--
+SELECT i.checkout, i.line_no AS in_line, o.line_no AS out_line FROM ins i LEFT JOIN outs o ON o.checkout = i.checkout AND o.k = i.k
+UNION ALL SELECT checkout, NULL, line_no FROM outs WHERE k IS NULL"""))
+def streamed_calls(t):
+    """The log goes through a stream in several files out of order, up to a last line that moves the watermark past all others."""
+    lines = t.in_out.select("checkout", "id", "name", "dir", "line_no", "ts")
+    spread = lines.repartition(6, F.xxhash64("line_no"))
+    folder = new_folder(t.spark, "log-stream")
+    spread.write.parquet(f"{folder}/lines")
+    stream = t.spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/lines")
+    last = lines.agg(F.max("ts").alias("ts")).select(
+        F.lit("end of log").alias("checkout"), F.lit("").alias("id"), F.lit("").alias("name"), F.lit("in").alias("dir"),
+        F.lit(0).cast("long").alias("line_no"), (F.col("ts") + F.expr("INTERVAL 4000 DAYS")).alias("ts"))
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+
+    def drain():
+        calls = pair_calls_stream(stream, "3000 days", "3000 days")
+        query = calls.writeStream.format("parquet").option("path", f"{folder}/calls").option(
+            "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    drain()
+    last.write.mode("append").parquet(f"{folder}/lines")
+    last.withColumn("ts", F.col("ts") + F.expr("INTERVAL 8000 DAYS")).write.mode("append").parquet(f"{folder}/lines")
+    drain()
+    calls = t.spark.read.parquet(f"{folder}/calls").where("checkout <> 'end of log'")
+    return calls.select("checkout", "in_line", "out_line")
+
+
 @query("paired_fifo_calls_in_blocks", "J17 N8", with_views("v_in_out", FIFO_SQL.replace("v_in_out", "one") + """
 --
 SELECT i.checkout, i.line_no AS in_line, o.line_no AS out_line FROM ins i LEFT JOIN outs o ON o.checkout = i.checkout AND o.k = i.k

@@ -46,12 +46,12 @@ def symbol_search(t):
 
 
 COMMIT_ASKED_SQL = f"""
-names AS (SELECT DISTINCT o_orderpriority AS p FROM orders),
-asked AS (SELECT p AS query_id, CASE WHEN p < '3' THEN 'the ' || p ELSE 'find the ' || p END AS text FROM names),
-words AS (SELECT query_id, list_distinct(list_filter(list_transform(regexp_extract_all(text, {WORD_SQL}), lambda x: lower(x)),
+names AS (SELECT DISTINCT o_orderstatus AS s, o_orderpriority AS p FROM orders),
+asked AS (SELECT s || ' ' || p AS query_id, s AS checkout, CASE WHEN p < '3' THEN 'the ' || p ELSE 'find the ' || p END AS text FROM names),
+words AS (SELECT query_id, checkout, list_distinct(list_filter(list_transform(regexp_extract_all(text, {WORD_SQL}), lambda x: lower(x)),
     lambda x: NOT list_contains({STOP_SQL}, x))) AS terms FROM asked),
-terms AS (SELECT query_id, len(terms) AS n, CASE WHEN len(terms) <= 2 THEN len(terms) ELSE (2 * len(terms) + 2) // 3 END AS need, unnest(terms) AS term FROM words),
-hit AS (SELECT q.query_id, q.n, q.need, c.hash, c.authored_at FROM terms q JOIN v_commits c ON c.checkout = 'F' AND ({contains_sql('c.subject', 'q.term')} OR {contains_sql('c.body', 'q.term')})),
+terms AS (SELECT query_id, checkout, len(terms) AS n, CASE WHEN len(terms) <= 2 THEN len(terms) ELSE (2 * len(terms) + 2) // 3 END AS need, unnest(terms) AS term FROM words),
+hit AS (SELECT q.query_id, q.n, q.need, c.hash, c.authored_at FROM terms q JOIN v_commits c ON c.checkout = q.checkout AND ({contains_sql('c.subject', 'q.term')} OR {contains_sql('c.body', 'q.term')})),
 classed AS (SELECT query_id, hash, authored_at, CASE WHEN count(*) >= any_value(n) THEN 0 WHEN any_value(need) < any_value(n) AND count(*) >= any_value(need) THEN 1 END AS class
     FROM hit GROUP BY query_id, hash, authored_at),
 best AS (SELECT * FROM classed QUALIFY class = min(class) OVER (PARTITION BY query_id))"""
@@ -62,8 +62,8 @@ best AS (SELECT * FROM classed QUALIFY class = min(class) OVER (PARTITION BY que
 SELECT query_id, hash, CAST(row_number() OVER (PARTITION BY query_id ORDER BY authored_at DESC, hash) AS INTEGER) AS rank FROM best QUALIFY rank <= 30"""))
 def commit_search(t):
     p = F.col("o_orderpriority")
-    asked = t.raw("orders").select(p).distinct().select(
-        p.alias("query_id"), F.lit("F").alias("checkout"), F.concat(F.when(p < "3", "the ").otherwise("find the "), p).alias("text")
+    asked = t.raw("orders").select("o_orderstatus", p).distinct().select(
+        F.concat_ws(" ", "o_orderstatus", p).alias("query_id"), F.col("o_orderstatus").alias("checkout"), F.concat(F.when(p < "3", "the ").otherwise("find the "), p).alias("text")
     )
     return code.search_commits(t.commits, asked).select("query_id", "hash", "rank")
 

@@ -210,11 +210,12 @@ def tenant_visibility(t):
 
 @query("path_scopes", "P9 P12 P14", with_views("v_pages", """
 SELECT page_id, path, path = 'en' OR starts_with(path, 'en/') AS under_en,
-    path = '' OR starts_with(path, '/') AS escapes, split_part(path, '/', 1) AS first
-FROM v_pages WHERE contains(path, '/')"""))
+    path = '' OR starts_with(path, '/') AS escapes,
+    CASE WHEN contains(ltrim(path, '/'), '/') AND split_part(path, '/', 1) <> '' THEN split_part(path, '/', 1) END AS first
+FROM v_pages"""))
 def path_scopes(t):
     path = F.col("path")
-    return t.pages.where(F.contains("path", F.lit("/"))).select(
+    return t.pages.select(
         "page_id", "path", P.in_scope(path, F.lit("/en/")).alias("under_en"), P.escapes_root(path).alias("escapes"),
         P.anchored_segment(F.concat(F.lit("/"), path)).alias("first"),
     )

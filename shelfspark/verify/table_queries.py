@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import records as R
 from ..operators import embedding, status, tables
 from ..operators.links import EDGE
+from ..session import new_folder
+from ..sources import deltas
 from .adapters import NOW, with_views
 from .registry import query
 
@@ -439,3 +441,20 @@ def last_indexed(t):
         F.when(place == 0, "").otherwise(F.concat(F.lit("c"), place.cast("string"))).alias("checkout")
     )
     return status.last_indexed(files, stamps).select("checkout", F.unix_seconds("last_indexed").alias("at_sec"))
+
+
+@query("delta_table", "W1 X7 S12", """
+SELECT user_id, event_id, event_type, epoch_us(ts) AS us FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND event_type <> 'error'""")
+def delta_table(t):
+    """The last event of each user, from four writes of changed keys; an error removes the user."""
+    schema = "user_id long, event_id long, event_type string, us long"
+    events = t.raw("events").select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"), "event_type",
+                                    F.unix_micros("ts").alias("us"))
+    path = new_folder(t.spark, "delta-table")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    placed = events.withColumn("part", 1 + F.floor((F.col("event_id") - low) * 4 / (high - low + 1)))
+    for version in range(1, 5):
+        now = placed.where(F.col("part") == version).groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "us"), "event_id").alias("e")).select("user_id", "e.*")
+        deltas.write_delta(now.where("event_type <> 'error'"), path, ["user_id"], version, now.where("event_type = 'error'"), max_deltas=3)
+    return deltas.read_table(t.spark, path, schema, ["user_id"])
