@@ -8,13 +8,12 @@ files of a digest concatenate to it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import records as R
 from .documents import serialize
+from .file_tree import write_files
 
 
 def _rel() -> Column:
@@ -103,26 +102,14 @@ def export_records(records: DataFrame, path: str) -> None:
 
 
 def export_files(records: DataFrame, folder: str) -> DataFrame:
-    """One markdown file per record (K1): ``[rel_path, bytes]`` of what was written.
+    """One markdown file per record below ``folder`` (K1): ``[rel_path, bytes]`` of what is there afterwards.
 
-    Tasks write their own files into a shared folder; each is written under a
-    temporary name and renamed, so a retried task leaves no half file.
+    The files appear together when all tasks are done, and a stale tree goes, see ``file_tree``.
     """
-    def write(frames: Iterator):
-        import os
-        import uuid
-
-        for frame in frames:
-            for rel, content in zip(frame["rel_path"], frame["content"]):
-                target = os.path.join(folder, rel)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                part = f"{target}.{uuid.uuid4().hex}.tmp"
-                with open(part, "w", encoding="utf-8") as out:
-                    out.write(content)
-                os.replace(part, target)
-            yield frame.assign(bytes=frame["content"].map(lambda c: len(c.encode())))[["rel_path", "bytes"]]
-
-    return serialize(records).select("rel_path", "content").mapInPandas(write, "rel_path string, bytes long")
+    write_files(serialize(records), folder)
+    spark = records.sparkSession
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return found.select(F.regexp_extract("path", r"/(records/.*)$", 1).alias("rel_path"), F.col("length").alias("bytes"))
 
 
 def export_archive(records: DataFrame, symbols: DataFrame, path: str) -> None:

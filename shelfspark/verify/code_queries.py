@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..operators import code, extract
+from ..session import new_folder
 from ..sources import exports
 from .adapters import STOP_SQL, WORD_SQL, ascii_sql, contains_sql, with_views
 from .registry import query
@@ -233,6 +234,32 @@ def archive_manifest(t):
     )
 
 
+@query("exported_archive", "C15 K2 K3 K4 K5", with_views("v_records v_symbols", """
+catalog AS (SELECT '- [' || title || '](records/' || scope || '/' || type || '/' || slug || '.md) (' || status || ')' || CASE WHEN severity IS NULL THEN '' ELSE ' [' || severity || ']' END AS text FROM v_records),
+digest AS (SELECT '## ' || title || chr(10) || chr(10) || '- Status: ' || status || chr(10) || '- Scope: ' || scope || chr(10)
+    || CASE WHEN severity IS NULL THEN '' ELSE '- Severity: ' || severity || chr(10) END
+    || CASE WHEN len(applies_to) = 0 THEN '' ELSE '- Applies to: ' || array_to_string(applies_to, ', ') || chr(10) END
+    || '- Tags: ' || array_to_string(tags, ', ') || chr(10) || chr(10) || body || chr(10) || chr(10) || '---' || chr(10) || chr(10) AS text FROM v_records
+    UNION ALL SELECT '# ' || upper(s[1]) || substr(s, 2) || chr(10) || chr(10) FROM (SELECT unnest(['rules', 'decisions', 'features', 'guides', 'maps', 'pitfalls']) AS s)),
+map AS (SELECT '- `' || name || '` (' || kind || ') line ' || line AS text FROM v_symbols UNION ALL SELECT DISTINCT '## ' || brand FROM v_symbols)
+--
+SELECT section, text, CAST(count(*) AS BIGINT) AS n FROM (
+    SELECT 'index' AS section, unnest(string_split(text, chr(10))) AS text FROM catalog
+    UNION ALL SELECT 'digests', unnest(string_split(text, chr(10))) FROM digest
+    UNION ALL SELECT 'map', unnest(string_split(text, chr(10))) FROM map
+    UNION ALL SELECT 'manifest', id FROM v_records) GROUP BY section, text"""))
+def exported_archive(t):
+    """The files of an export, read back line by line."""
+    path = new_folder(t.spark, "export")
+    exports.export_archive(t.records, t.brand_symbols, path)
+
+    def lines(name):
+        return t.spark.read.option("lineSep", "\n").text(f"{path}/{name}").select(F.lit(name).alias("section"), F.col("value").alias("text"))
+
+    ids = lines("manifest").withColumn("text", F.get_json_object("text", "$.id"))
+    return lines("index").union(lines("digests")).union(lines("map")).union(ids).groupBy("section", "text").agg(F.count("*").alias("n"))
+
+
 @query("serialized_records", "K1 S3 S5")
 def serialized_records(t):
     from ..sources.documents import serialize

@@ -1,6 +1,7 @@
 """Snapshot writes, embedding tables, links, sources and exports."""
 
 import datetime as dt
+import os
 
 import pytest
 from helpers import T0, query, records, vectors
@@ -16,6 +17,7 @@ from shelfspark.plans.search import get_record, search_with_links
 from shelfspark.sources import commits as C
 from shelfspark.sources import documents as D
 from shelfspark.sources import exports as X
+from shelfspark.sources.file_tree import write_files
 from shelfspark.sources import snapshots as S
 from shelfspark.sources import tree as T
 
@@ -212,10 +214,25 @@ def test_export_files_read_back(spark, tmp_path):
     recs = records(
         spark, dict(id="a", title='He said: "x"', body="text\n", tags=["t:1", "u"], severity="must", type="rule"), dict(id="b", type="map", body="# H"),
     )
-    written = X.export_files(recs, str(tmp_path)).collect()
-    assert {r.rel_path for r in written} == {"records/repo/rule/a.md", "records/repo/map/b.md"}
-    back = by_id(D.read_documents(spark, {str(tmp_path): "repo"}))
+    folder = str(tmp_path / "out")
+    written = X.export_files(recs, folder).collect()
+    assert {r.rel_path for r in written} == {"records/repo/rule/a.md", "records/repo/map/b.md"} and all(r.bytes > 40 for r in written)
+    back = by_id(D.read_documents(spark, {folder: "repo"}))
     assert (back["a"].body, back["a"].severity, back["b"].type) == ("text", "must", "map")
+    # a later export replaces the tree; nothing else is left beside it
+    assert [r.rel_path for r in X.export_files(recs.where("id = 'b'"), folder).collect()] == ["records/repo/map/b.md"]
+    assert os.listdir(tmp_path) == ["out"]
+
+
+def test_a_failed_export_leaves_the_old_tree(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    write_files(spark.createDataFrame([("a/x.md", "old")], "rel_path string, content string"), folder)
+    bad = spark.createDataFrame([(f"a/{i}.md", "new") for i in range(20)] + [("../x.md", "new")], "rel_path string, content string").repartition(4)
+    with pytest.raises(Exception, match="not a path inside the folder"):
+        write_files(bad, folder)
+    assert os.listdir(tmp_path) == ["out"] and os.listdir(f"{folder}/a") == ["x.md"]
+    write_files(bad.limit(0), folder)
+    assert os.listdir(folder) == []
 
 
 def test_export_archive(spark, tmp_path):
