@@ -273,12 +273,13 @@ def segment_bytes(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def suffix_order(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Suffixes of ``data`` (symbols from 1 up, one 0 at the end) in the order of their first ``depth`` symbols at least.
+    """Suffixes of ``data`` (symbols from 1 to 255, one 0 at the end) in the order of their first ``depth`` symbols at least.
 
-    Two-stage sorting: suffixes smaller than their successor are sorted directly; a scan from the smallest up puts each
-    larger one at the head of its first symbol's bucket when its successor is met.
+    Two-stage sorting: suffixes smaller than their successor are sorted directly; a scan over the buckets of first symbols, from
+    the smallest up, puts each larger one at the head of its own bucket when its successor is met.
     """
     n = len(data)
+    data = data.astype(np.uint8)
     next_up = np.zeros(n, dtype=bool)  # suffix smaller than its successor
     differ = np.flatnonzero(data[1:] != data[:-1])
     rises = data[differ + 1] > data[differ]
@@ -286,49 +287,38 @@ def suffix_order(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     next_up[:-1] = np.append(rises, False)[following]
     next_up[-1] = True
     direct = np.flatnonzero(next_up)
-    padded = np.concatenate([data, np.zeros(depth, dtype=data.dtype)])
-    direct = direct[_sort_keys(padded, direct, depth)]
-    counts = np.bincount(data, minlength=260)
-    ends = np.cumsum(counts)
-    heads = (ends - counts).tolist()
+    padded = np.concatenate([data, np.zeros(depth, dtype=np.uint8)])
+    keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, depth)[direct])
+    direct = direct[np.argsort(keys.view(f"S{depth}")[:, 0], kind="stable")]
+    ends = np.cumsum(np.bincount(data, minlength=256))
+    heads = ends - np.bincount(data, minlength=256)
+    upper = ends - np.bincount(data[direct], minlength=256)  # sorted ones fill the upper part of each bucket
     order = np.full(n, -1, dtype=np.int64)
-    # sorted ones fill the upper part of each bucket
     first = data[direct]
-    inside = np.arange(len(direct)) - np.searchsorted(first, first)
-    mine = np.bincount(first, minlength=260)
-    order[(ends - mine)[first] + inside] = direct
-    places, symbols, induced = order.tolist(), data.tolist(), (~next_up).tolist()
-    for j in range(n):
-        i = places[j]
-        if i > 0 and induced[i - 1]:
-            c = symbols[i - 1]
-            places[heads[c]] = i - 1
-            heads[c] += 1
-    return np.array(places, dtype=np.int64)
-
-
-def _sort_keys(padded: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes at ``at`` by their first ``depth`` symbols, seven symbols (9 bits each) at a time; ties by place."""
-    order = np.arange(len(at))
-    group = np.zeros(len(at), dtype=np.int64)
-    for step in range(0, depth, 7):
-        key = np.zeros(len(order), dtype=np.int64)
-        for s in range(step, min(step + 7, depth)):
-            key = key << 9 | padded[at[order] + s]
-        key <<= 9 * max(0, step + 7 - depth)
-        tied = np.flatnonzero(np.append(group[1:] == group[:-1], False) | np.concatenate([[False], group[1:] == group[:-1]]))
-        if not len(tied):
-            break
-        inner = np.lexsort((order[tied], key[tied], group[tied]))
-        order[tied], key[tied] = order[tied][inner], key[tied][inner]
-        new = np.concatenate([[False], (group[1:] != group[:-1]) | (key[1:] != key[:-1])])
-        group = np.cumsum(new)
+    order[upper[first] + np.arange(len(direct)) - np.searchsorted(first, first)] = direct
+
+    def induce(met: np.ndarray) -> None:
+        """Place the larger suffixes that begin just before these, in their order."""
+        before = met[met > 0] - 1
+        before = before[~next_up[before]]
+        symbols = data[before]
+        by = np.argsort(symbols, kind="stable")
+        before, symbols = before[by], symbols[by]
+        order[heads[symbols] + np.arange(len(by)) - np.searchsorted(symbols, symbols)] = before
+        heads[:] += np.bincount(symbols, minlength=256)
+
+    for c in range(256):
+        at = ends[c - 1] if c else 0
+        while at < heads[c]:  # a run of one symbol grows its own bucket
+            at, met = heads[c], order[at : heads[c]]
+            induce(met)
+        induce(order[upper[c] : ends[c]])
     return order
 
 
 def block_repeats(rows: list[tuple]) -> Iterator[tuple]:
     """(o, place, n) of the repeated starts among segments (k, o, place, n, bytes) of whole anchors."""
-    data = np.frombuffer(b"".join(r[4] + b"\0" for r in rows) + b"\0", dtype=np.uint8).astype(np.int64) + 2
+    data = np.frombuffer(b"".join(r[4] + b"\0" for r in rows) + b"\0", dtype=np.uint8) + np.uint8(2)  # UTF-8 has no byte above 0xF4
     sizes = np.array([len(r[4]) + 1 for r in rows])
     base = np.cumsum(sizes) - sizes
     data[base + sizes - 1] = 1  # ends of segments
@@ -339,7 +329,7 @@ def block_repeats(rows: list[tuple]) -> Iterator[tuple]:
     order = suffix_order(data)
     order = order[starts[order]]
     # adjacent common prefixes: LENGTH symbols or more?
-    windows = np.lib.stride_tricks.sliding_window_view(data.astype(np.int16), LENGTH)
+    windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
     alike = np.ones(len(order) - 1, dtype=bool)
     for a in range(0, len(alike), 4096):
         b = min(len(alike), a + 4096)
