@@ -12,12 +12,14 @@ earlier in the same document).  Suffixes of all texts are never sorted together:
 3. ``suffix_repeats``: those segments, whole anchors together, are laid end to end in blocks.  In each block only
    suffixes smaller than their successor are sorted directly (on LENGTH bytes), the others follow from them in one
    scan over the buckets of first bytes; adjacent common prefixes of LENGTH bytes or more are repeats.  An anchor
-   with more than ``WIDE`` segments would overfill a block: its strings are compared by their 128-bit digests, row by row in Spark.
+   with more than ``WIDE`` segments would overfill a block: ``refined_repeats`` compares its strings by ever longer contexts,
+   and drops what meets no other on the way.
 4. ``removed``: the repeats of each document are joined to its bytes.
 
 Null or empty text, and texts under LENGTH bytes: nothing removed.  Null ids count as the largest.  Rows with equal id and equal
 text get equal results and do not remove each other's bytes; rows with equal id and different texts are ordered by a checksum of the
-text.  Empty tables give empty results.  Other columns are ignored.  Segments are told apart by two 64-bit hashes.
+text.  Empty tables give empty results.  Other columns are ignored.  Segments are told apart by two 64-bit hashes,
+parts of wide anchors by 128 bits.
 """
 
 from __future__ import annotations
@@ -40,8 +42,8 @@ GRAM = 24
 PIECE, SETTLE = 1 << 19, 8 << 20
 #: Bytes of one block of segments, and segments of one anchor above which it goes its own way.
 BLOCK, WIDE = 1 << 19, 2000
-#: Starts of such anchors that a task settles among themselves.
-STARTS = 200_000
+#: Distances to such an anchor that its strings are cut by, ever fewer.
+WIDTHS = (16, 4, 1)
 LAST = (1 << 63) - 1
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -373,39 +375,65 @@ def suffix_repeats(found: DataFrame, block: int = BLOCK) -> DataFrame:
     return map_rows(ranged, run, "o long, place long, n long")
 
 
-def digest_repeats(found: DataFrame) -> DataFrame:
-    """Repeated starts of anchors with very many segments: one row a string, compared by digest.
+def _anchor(k: int, n: int, data: bytes) -> int:
+    """Place of the anchor in the bytes of a segment: the first gram of that hash that all its strings hold."""
+    grams = _grams(np.frombuffer(data, dtype=np.uint8))[n - 1 :].view(np.int64)
+    return n - 1 + int(np.flatnonzero(grams == k)[0])
+
+
+def _classes(rows: Iterator[tuple], width: int) -> Iterator[tuple]:
+    """Cut segments (k, p, o, place, n, bytes) by the distance of their strings to the anchor, ``width`` distances a part."""
+    for k, p, o, place, n, data in rows:
+        p = _anchor(k, n, data) if p is None else p
+        for near in range((p - n + 1) // width * width, p + 1, width):
+            far = min(near + width - 1, LENGTH - GRAM)
+            first, last = min(p, far), max(p - n + 1, near)  # distances of this part's first and last string
+            common = hashlib.blake2b(data[p - near : p - far + LENGTH], digest_size=16, salt=near.to_bytes(2, "big")).digest()
+            own = data[p - first : p - last + LENGTH]
+            same = hashlib.blake2b(own, digest_size=16, key=common, salt=first.to_bytes(2, "big")).digest()
+            yield common, same, o, place + p - first, first - last + 1, first, own
 
-    A task settles equal strings among ``STARTS`` of its own first, so a string that many documents share is one row a batch.
-    """
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for batch in batches_by_bytes(rows, lambda r: r[3], STARTS):
-            digests = b"".join(hashlib.blake2b(r[4][i : i + LENGTH], digest_size=16).digest() for r in batch for i in range(r[3]))
-            x = np.frombuffer(digests, dtype="<u8").reshape(-1, 2)
-            sizes = np.array([r[3] for r in batch])
-            o = np.repeat(np.array([r[1] for r in batch], dtype=np.int64), sizes)
-            step = np.arange(len(o)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            place = np.repeat(np.array([r[2] for r in batch], dtype=np.int64), sizes) + step
-            order = np.lexsort((place, o, x[:, 1], x[:, 0]))
-            x, o, place = x[order], o[order], place[order]
-            first = np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)])
-            yield from ((k.tobytes(), a, b, 1) for k, a, b in zip(x[first], o[first].tolist(), place[first].tolist()))
-            head = np.maximum.accumulate(np.where(first, np.arange(len(o)), 0))
-            again = (o != o[head]) | (place != place[head])  # a repeated row is no repeat of itself
-            if again.any():
-                o, place = o[again], place[again]
-                order = np.lexsort((place, o))
-                o, place = o[order], place[order].view(np.uint64)
-                keep = np.concatenate([[True], (o[1:] != o[:-1]) | (place[1:] != place[:-1])])
-                o, place = o[keep], place[keep]
-                at, n = _runs(place, np.ones(len(o), dtype=np.int64), np.concatenate([[True], o[1:] != o[:-1]]))
-                yield from ((None, a, b, c) for a, b, c in zip(o[at].tolist(), place[at].view(np.int64).tolist(), n.tolist()))
 
-    strings = written(map_rows(found, run, "x binary, o long, place long, n long"), "repeats-wide")
-    left = strings.where("x IS NOT NULL")
-    first = left.groupBy("x").agg(F.min(F.struct("o", "place")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    met = left.join(first, "x").where((F.col("o") != F.col("f.o")) | (F.col("place") != F.col("f.place")))
-    return met.select("o", "place", "n").unionByName(strings.where("x IS NULL").select("o", "place", "n"))
+def _earliest(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Of equal parts, in the order of (same, o, place), the earliest as it is and the others as repeats (no x)."""
+    head = None
+    for r in rows:
+        if head is None or r[1] != head[1]:
+            head = r
+            yield r
+        elif r[2:4] != head[2:4]:  # a repeated row is no repeat of itself
+            yield None, None, *r[2:5], None, None
+
+
+def refined_repeats(found: DataFrame) -> DataFrame:
+    """Repeated starts of anchors with very many segments, by contexts that grow until they are whole strings.
+
+    The strings of a segment are cut into classes by their distance to the anchor.  All strings of a class hold the bytes between the
+    start of its nearest and the end of its farthest one, so equal strings agree on them.  Equal parts are settled, first among those
+    of a task; a part whose common bytes no different part shares is done, the others are cut into smaller classes.
+    """
+    spark, schema = found.sparkSession, "x binary, same binary, o long, place long, n long, p long, bytes binary"
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    active = found.select("k", F.lit(None).cast("long").alias("p"), "o", "place", "n", "bytes")
+    out = spark.createDataFrame([], "o long, place long, n long")
+    for width in WIDTHS:
+        def cut(rows: Iterator[tuple], width: int = width) -> Iterator[tuple]:
+            for batch in batches_by_bytes(_classes(rows, width), lambda r: len(r[6]), SETTLE):
+                yield from _earliest(sorted(batch, key=lambda r: r[1:4]))
+
+        size = lambda r: 100 + len(r[6] or b"")
+        split = written(map_rows(active, cut, schema, size), "repeats-parts")
+        ranged = split.where("x IS NOT NULL").repartition(parts, "same").sortWithinPartitions("same", "o", "place")
+        settled = written(map_rows(ranged, _earliest, schema, size), "repeats-settled")
+        for done in (split, settled):
+            out = out.unionByName(done.where("x IS NULL").select("o", "place", "n"))
+        first = settled.where("x IS NOT NULL")
+        several = written(first.groupBy("x").count().where("count > 1").select("x"), "repeats-shared")
+        if width == 1 or several.isEmpty():
+            break
+        active = lookup_join(first, several, ["x"], "inner", spread=F.col("place")).select(
+            F.lit(None).cast("long").alias("k"), "p", "o", "place", "n", "bytes")
+    return out
 
 
 def removed(docs: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -443,6 +471,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     marked = lookup_join(parts, written(many, "repeats-wide-anchors"), ["k"], "left", spread=F.col("place"))
     columns = ("k", "o", "place", "n", "bytes")
     narrow = suffix_repeats(marked.where("_wide IS NULL").select(*columns), block)
-    rest = digest_repeats(marked.where("_wide").select(*columns))
+    rest = refined_repeats(marked.where("_wide").select(*columns))
     repeats = written(found.where("k IS NULL").select("o", "place", "n").unionByName(narrow).unionByName(rest), "repeats-ranges")
     return removed(texts, repeats)

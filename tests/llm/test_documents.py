@@ -222,6 +222,41 @@ def test_suffix_order():
         assert sorted(order.tolist()) == list(range(n + 1)) and keys == sorted(keys)
 
 
+def test_wide_anchors_by_growing_contexts():
+    """Texts that share cuts of one passage: the parts hold every repeat, and fewer rows than there are strings."""
+    rng = random.Random(5)
+    words = [bytes(rng.choices(b"abcdefgh", k=5)) for _ in range(40)]
+    passage = b" ".join(rng.choices(words, k=40))
+    texts = []
+    for _ in range(120):
+        a = rng.randint(0, 60)
+        texts.append(b" ".join([*rng.choices(words, k=12), passage[a : a + rng.randint(60, 170)], *rng.choices(words, k=15)]))
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    edges = np.cumsum([0, *map(len, texts)])
+    ok = np.ones(len(data), dtype=bool)
+    for e in edges[1:]:
+        ok[max(0, e - 99) : e] = False
+    active = []
+    for k, _, first, n in zip(*repeats.segments(data, ok)):
+        o = int(np.searchsorted(edges, first, side="right") - 1)
+        at = int(first - edges[o])
+        active.append((int(k.view(np.int64)), None, o, at, int(n), texts[o][at : at + int(n) + 99]))
+    strings, got, made = sum(r[4] for r in active), set(), 0
+    for width in repeats.WIDTHS:
+        rows = sorted(repeats._classes(iter(active), width), key=lambda r: r[1:4])
+        settled = list(repeats._earliest(iter(rows)))
+        got |= {(r[2], r[3] + i) for r in settled if r[0] is None for i in range(r[4])}
+        shared = collections.Counter(r[0] for r in settled if r[0])
+        active = [(None, r[5], *r[2:5], r[6]) for r in settled if r[0] and shared[r[0]] > 1]
+        made += len(rows)
+    seen, want = {}, set()
+    for o, t in enumerate(texts):
+        for i in range(len(t) - 99):
+            if seen.setdefault(t[i : i + 100], (o, i)) != (o, i):
+                want.add((o, i))
+    assert got == want and len(want) > 1000 and made < strings / 3
+
+
 @pytest.mark.parametrize(("wide", "block"), [(repeats.WIDE, repeats.BLOCK), (1, 3000)])
 def test_repeats(docs, wide, block):
     first, want = {}, {}
