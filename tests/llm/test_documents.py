@@ -174,12 +174,8 @@ def test_quality(docs, labels, monkeypatch):
     assert [tuple(r[c] for c in quality.COUNTS) for r in quality.measured(docs.where("doc_id = 8")).collect()] == [_rules(TEXTS[8])]
 
 
-def test_ngram_join(docs):
-    for r in docs.collect():
-        words = (r.text or "").encode().lower().split()
-        want = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-        assert len(shingles.shingle_set(r.text)) == len(want)
-    rows = [r for r in _rows(docs)]
+def _components(rows):
+    """(id as text, set size, component) of each row by comparing all pairs, and the number of links."""
     sets = [set(shingles.shingle_set(t).tolist()) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -188,20 +184,50 @@ def test_ngram_join(docs):
             x = parent[x]
         return x
 
+    links = 0
     for i, a in enumerate(sets):
         for j in range(i):
             if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
                 parent[find(i)] = find(j)
+                links += a != sets[j]
     least = {}
     for i, (k, _) in enumerate(rows):
         if k is not None:
             least[find(i)] = min(least.get(find(i), k), k)
-    want = sorted((str(k), len(s), least.get(find(i)) if s else k) for i, ((k, _), s) in enumerate(zip(rows, sets)))
+    return sorted((str(k), len(s), least.get(find(i)) if s else k) for i, ((k, _), s) in enumerate(zip(rows, sets))), links
+
+
+def test_ngram_join(docs):
+    for r in docs.collect():
+        words = (r.text or "").encode().lower().split()
+        want = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        assert len(shingles.shingle_set(r.text)) == len(want)
+    want, _ = _components(_rows(docs))
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in ngram_join.find_classes(docs).collect())
     assert got == want
     assert ngram_join.find_classes(docs.limit(0)).count() == 0
 
 
+def test_ngram_join_over_many_groups(spark, monkeypatch):
+    """Groups of two, one neighbour and hub, nearly every token late and classes of copies hot: no link is lost."""
+    for name, value in {"GROUP": 2, "BEST": 1, "NEIGHBOURS": 1, "HUBS": 1, "LATE": 2, "HOT": 0.02}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(12)
+    texts = []
+    for family in range(12):
+        base = [rng.choice(WORDS) + rng.choice(["", "a", "xy", "q"]) for _ in range(rng.randint(60, 160))]
+        for k in range(rng.randint(1, 9)):  # a chain: each copy is edited once more
+            base = list(base)
+            base[rng.randrange(len(base))] = f"edit{family}x{k}"
+            texts.append(" ".join(base))
+    texts += [texts[3]] * 12 + [" ".join(rng.choices(WORDS, k=40)) for _ in range(30)]
+    rows = list(enumerate(texts))
+    want, links = _components(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in ngram_join.find_classes(docs).collect())
+    assert got == want and links > 50
+
+
 def test_bit_maps_bound_the_overlap():
     rng = np.random.default_rng(2)
     for _ in range(200):
