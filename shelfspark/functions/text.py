@@ -185,11 +185,6 @@ def query_for_embedding(model: Column, text: Column) -> Column:
     return F.when(instruct, F.concat(F.lit(C.INSTRUCT_PREFIX), text)).otherwise(text)
 
 
-def let(value: Column, fn) -> Column:
-    """Bind ``value`` once for an expression that uses it many times."""
-    return F.transform(F.array(value), fn)[0]
-
-
 def running_max(values: Column) -> Column:
     """Inclusive running maxima of an array, by doubling."""
     rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int"))

@@ -2,7 +2,9 @@
 
 A term matches anywhere inside a text, which is a theta join.  Every term is
 reduced to its first characters (up to three) and every text to the pieces of
-that length it contains; rows that share a piece are tested.
+that length it contains; rows that share a piece are tested.  Symbols, commits
+and edges may also come as a stored ``SubstringIndex``, which reads the texts of
+candidates only.
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import paths as P
 from ..functions import text as X
+from . import substring_index
 from .sizing import lookup_join
+from .substring_index import SubstringIndex
 
 GRAM = 3
 
@@ -72,30 +76,63 @@ def strict_then_partial(hits: DataFrame, keep: list[str], sums: dict[str, Column
     return ranked.withColumn("best", best).where("class = best").drop("best", "class", "n_hit", "need", "n_terms")
 
 
-def search_symbols(symbols: DataFrame, files: DataFrame, queries: DataFrame, limit: int = C.EXPLORE_LIMIT) -> DataFrame:
-    """Symbols whose name, doc, path or package holds the terms.
+SYMBOL_KEEP = ["file_path", "seq", "name", "kind", "line", "exported"]
+SYMBOL_FIELDS = ["name", "doc", "file_path", "package_name"]
+COMMIT_KEEP = ["hash", "authored_at"]
+COMMIT_FIELDS = ["subject", "body"]
 
-    Order: name hits, exported, doc hits, path, line, then ``seq``.
-    """
-    named = symbols.join(
+
+def with_packages(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Symbols with the package name of their file."""
+    return symbols.join(
         files.select("checkout", F.col("path").alias("file_path"), "package_name"), ["checkout", "file_path"], "left"
     )
-    keep = ["file_path", "seq", "name", "kind", "line", "exported"]
-    hits = term_hits(named, ["name", "doc", "file_path", "package_name"], code_terms(queries), keep)
-    sums = {
-        "name_hits": F.sum(F.col("in_name").cast("int")), "doc_hits": F.sum(F.col("in_doc").cast("int")),
-        "doc": F.first("doc"),
-    }
+
+
+def write_symbol_index(symbols: DataFrame, files: DataFrame, path: str, **sizes: int) -> None:
+    """Store symbols for ``search_symbols``."""
+    substring_index.write_substrings(with_packages(symbols, files), SYMBOL_FIELDS, SYMBOL_KEEP, path, **sizes)
+
+
+def write_commit_index(commits: DataFrame, path: str, **sizes: int) -> None:
+    """Store commits for ``search_commits``."""
+    substring_index.write_substrings(commits, COMMIT_FIELDS, COMMIT_KEEP, path, **sizes)
+
+
+def write_edge_index(edges: DataFrame, path: str, **sizes: int) -> None:
+    """Store distinct edges for ``importers_by_query``."""
+    substring_index.write_substrings(edges.select("checkout", *EDGE).distinct(), ["to_path"], EDGE, path, **sizes)
+
+
+def _stored_search(index: SubstringIndex, queries: DataFrame, sums: dict[str, Column], order: list[Column], limit: int,
+                   shown: list[str]) -> DataFrame:
+    """Ranked on keys and counts; the shown texts are read for the final hits only."""
+    hits = substring_index.term_hits(index, code_terms(queries))
+    best = strict_then_partial(hits, ["checkout", "row", *index.keep], sums, order, limit)
+    return substring_index.with_fields(index, best, shown).drop("checkout", "row")
+
+
+def search_symbols(symbols: DataFrame | SubstringIndex, files: DataFrame | None, queries: DataFrame, limit: int = C.EXPLORE_LIMIT) -> DataFrame:
+    """Symbols whose name, doc, path or package holds the terms.
+
+    Order: name hits, exported, doc hits, path, line, then ``seq``.  A stored
+    index holds the packages, so it needs no ``files``.
+    """
+    sums = {"name_hits": F.sum(F.col("in_name").cast("int")), "doc_hits": F.sum(F.col("in_doc").cast("int"))}
     order = [F.desc("name_hits"), F.desc("exported"), F.desc("doc_hits"), F.col("file_path"), F.col("line"), F.col("seq")]
-    return strict_then_partial(hits, keep, sums, order, limit)
+    if isinstance(symbols, SubstringIndex):
+        return _stored_search(symbols, queries, sums, order, limit, ["doc"])
+    hits = term_hits(with_packages(symbols, files), SYMBOL_FIELDS, code_terms(queries), SYMBOL_KEEP)
+    return strict_then_partial(hits, SYMBOL_KEEP, {**sums, "doc": F.first("doc")}, order, limit)
 
 
-def search_commits(commits: DataFrame, queries: DataFrame, limit: int = C.EXPLORE_LIMIT) -> DataFrame:
+def search_commits(commits: DataFrame | SubstringIndex, queries: DataFrame, limit: int = C.EXPLORE_LIMIT) -> DataFrame:
     """Commits whose subject or body holds the terms, newest first."""
-    keep = ["hash", "authored_at"]
-    hits = term_hits(commits, ["subject", "body"], code_terms(queries), keep)
-    sums = {"subject": F.first("subject"), "body": F.first("body")}
-    return strict_then_partial(hits, keep, sums, [F.desc("authored_at"), F.col("hash")], limit)
+    order = [F.desc("authored_at"), F.col("hash")]
+    if isinstance(commits, SubstringIndex):
+        return _stored_search(commits, queries, {}, order, limit, COMMIT_FIELDS)
+    hits = term_hits(commits, COMMIT_FIELDS, code_terms(queries), COMMIT_KEEP)
+    return strict_then_partial(hits, COMMIT_KEEP, {f: F.first(f) for f in COMMIT_FIELDS}, order, limit)
 
 
 def _capped(edges: DataFrame, limit: int, first: list[Column] | None = None) -> DataFrame:
@@ -138,10 +175,12 @@ def importers_by_file(edges: DataFrame, files: DataFrame, limit: int = C.EXPLORE
     return _capped(found, limit)
 
 
-def importers_by_query(edges: DataFrame, queries: DataFrame, limit: int = C.EXPLORE_LIMIT) -> DataFrame:
+def importers_by_query(edges: DataFrame | SubstringIndex, queries: DataFrame, limit: int = C.EXPLORE_LIMIT) -> DataFrame:
     """Distinct edges whose target holds every query term."""
-    distinct = edges.select("checkout", *EDGE).distinct()
-    hits = term_hits(distinct, ["to_path"], code_terms(queries), EDGE)
+    if isinstance(edges, SubstringIndex):
+        hits = substring_index.term_hits(edges, code_terms(queries))
+    else:
+        hits = term_hits(edges.select("checkout", *EDGE).distinct(), ["to_path"], code_terms(queries), EDGE)
     full = hits.groupBy("query_id", "n_terms", *EDGE).agg(F.count_distinct("term").alias("n")).where("n = n_terms")
     return _capped(full.select("query_id", *EDGE), limit)
 
@@ -155,9 +194,11 @@ def merge_edges(first: DataFrame, second: DataFrame, limit: int = C.EXPLORE_LIMI
     return _capped(merged, limit, [F.col("src")]).drop("src")
 
 
-def importers_of(edges: DataFrame, files: DataFrame, queries: DataFrame | None = None, limit: int = C.EXPLORE_LIMIT) -> DataFrame:
+def importers_of(edges: DataFrame, files: DataFrame, queries: DataFrame | None = None, limit: int = C.EXPLORE_LIMIT,
+                 index: SubstringIndex | None = None) -> DataFrame:
+    """Importers by file, then by query if there are queries; ``index`` holds the edges for the latter."""
     by_file = importers_by_file(edges, files, limit)
-    return by_file if queries is None else merge_edges(by_file, importers_by_query(edges, queries, limit), limit)
+    return by_file if queries is None else merge_edges(by_file, importers_by_query(index or edges, queries, limit), limit)
 
 
 def symbols_in_order(symbols: DataFrame) -> DataFrame:

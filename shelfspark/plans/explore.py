@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..operators import code
+from ..operators.substring_index import SubstringIndex
 
 
-def explore(symbols: DataFrame, files: DataFrame, edges: DataFrame, commits: DataFrame, queries: DataFrame,
-            limit: int = C.EXPLORE_LIMIT) -> dict[str, DataFrame]:
-    """``queries[query_id, checkout, text]``; an empty text finds nothing."""
+def explore(symbols: DataFrame | SubstringIndex, files: DataFrame | None, edges: DataFrame, commits: DataFrame | SubstringIndex,
+            queries: DataFrame, limit: int = C.EXPLORE_LIMIT, edge_index: SubstringIndex | None = None) -> dict[str, DataFrame]:
+    """``queries[query_id, checkout, text]``; an empty text finds nothing.  Symbols and commits may be stored indexes."""
     queries = queries.where(F.trim("text") != "")
     found = code.search_symbols(symbols, files, queries, limit)
     checkout = queries.select("query_id", "checkout")
@@ -19,6 +20,6 @@ def explore(symbols: DataFrame, files: DataFrame, edges: DataFrame, commits: Dat
     return {
         "symbols": found,
         "imports": code.imports_of(edges, hit_files, limit),
-        "importers": code.importers_of(edges, hit_files, queries, limit),
+        "importers": code.importers_of(edges, hit_files, queries, limit, edge_index),
         "commits": code.search_commits(commits, queries, limit),
     }

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..operators import code, extract
+from ..operators.substring_index import open_substrings
 from ..session import new_folder
 from ..sources import exports
 from .adapters import STOP_SQL, WORD_SQL, ascii_sql, contains_sql, with_views
-from .registry import query
+from .registry import ORACLES, query
 
 # Every distinct part name with its kind is a query; every other one gets a word
 # that matches nothing, so the two-thirds retry runs too.
@@ -46,6 +47,14 @@ def symbol_search(t):
     return code.search_symbols(t.symbols, t.files, _asked(t)).select("query_id", "file_path", "seq", "name_hits", "doc_hits", "rank")
 
 
+@query("stored_symbol_search", "C8 J6 T5 T7 P11", ORACLES["symbol_search"])
+def stored_symbol_search(t):
+    path = new_folder(t.spark, "symbol-index")
+    code.write_symbol_index(t.symbols, t.files, path)
+    found = code.search_symbols(open_substrings(t.spark, path), None, _asked(t))
+    return found.select("query_id", "file_path", "seq", "name_hits", "doc_hits", "rank")
+
+
 COMMIT_ASKED_SQL = f"""
 names AS (SELECT DISTINCT o_orderstatus AS s, o_orderpriority AS p FROM orders),
 asked AS (SELECT s || ' ' || p AS query_id, s AS checkout, CASE WHEN p < '3' THEN 'the ' || p ELSE 'find the ' || p END AS text FROM names),
@@ -62,11 +71,24 @@ best AS (SELECT * FROM classed QUALIFY class = min(class) OVER (PARTITION BY que
 --
 SELECT query_id, hash, CAST(row_number() OVER (PARTITION BY query_id ORDER BY authored_at DESC, hash) AS INTEGER) AS rank FROM best QUALIFY rank <= 30"""))
 def commit_search(t):
+    return code.search_commits(t.commits, _commits_asked(t)).select("query_id", "hash", "rank")
+
+
+def _commits_asked(t):
     p = F.col("o_orderpriority")
-    asked = t.raw("orders").select("o_orderstatus", p).distinct().select(
+    return t.raw("orders").select("o_orderstatus", p).distinct().select(
         F.concat_ws(" ", "o_orderstatus", p).alias("query_id"), F.col("o_orderstatus").alias("checkout"), F.concat(F.when(p < "3", "the ").otherwise("find the "), p).alias("text")
     )
-    return code.search_commits(t.commits, asked).select("query_id", "hash", "rank")
+
+
+@query("stored_commit_search", "C9 T6 T7 F5", with_views("v_commits", COMMIT_ASKED_SQL + """,
+found AS (SELECT query_id, hash, row_number() OVER (PARTITION BY query_id ORDER BY authored_at DESC, hash) AS rank FROM best QUALIFY rank <= 30)
+--
+SELECT f.query_id, f.hash, c.subject, c.body, CAST(f.rank AS INTEGER) AS rank FROM found f JOIN v_commits c ON c.hash = f.hash"""))
+def stored_commit_search(t):
+    path = new_folder(t.spark, "commit-index")
+    code.write_commit_index(t.commits, path)
+    return code.search_commits(open_substrings(t.spark, path), _commits_asked(t)).select("query_id", "hash", "subject", "body", "rank")
 
 
 # Files of a query: pages by language folder and last digit.
@@ -140,6 +162,15 @@ def merged_importers(t):
     return code.importers_of(t.edges, files, asked)
 
 
+@query("stored_merged_importers", "J10 J11 J8", ORACLES["merged_importers"])
+def stored_merged_importers(t):
+    path = new_folder(t.spark, "edge-index")
+    code.write_edge_index(t.edges, path)
+    files = _word_files(t)
+    asked = files.select("query_id", "checkout", F.col("query_id").alias("text")).distinct()
+    return code.importers_of(t.edges, files, asked, index=open_substrings(t.spark, path))
+
+
 CODE_SQL = """
 src AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
 lines AS (SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) AS line FROM src),
