@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import logs as L
 from ..functions import records as R
+from ..session import new_folder
 from .scan import BLOCK_ROWS, block_of, carry_forward, exists_within
 
 VARIANTS = "array<variant>"
@@ -162,40 +163,87 @@ def call_query(args: Column) -> Column:
     )
 
 
+ITEM = ("struct<id: string, title: string, status: string, applies_to: array<string>, source: string, reason: string, "
+        "severity: string>")
+
+
+def type_calls(calls: DataFrame) -> DataFrame:
+    """What the reports need of each call, its variants read once.
+
+    ``[checkout, seq, name, at, at_us, error, truncated, query, id, title, effect, items]``: ``items`` are the records a
+    search, get, check or cite names, in order.  ``id`` and ``title`` are those of a citation or a new record.  Typed
+    calls come back as they are, so the functions below take either form.
+    """
+    if "items" in calls.columns:
+        return calls
+    result, args, name = F.col("result"), F.col("args"), F.col("name")
+    none = F.lit(None).cast("string")
+
+    def item(h: Column, status: Column, source: Column, reason: Column, severity: Column) -> Column:
+        return F.struct(h["id"].alias("id"), h["title"].alias("title"), status.alias("status"), h["applies_to"].alias("applies_to"),
+                        source.alias("source"), reason.alias("reason"), severity.alias("severity")).cast(ITEM)
+
+    found = F.transform(search_results(result), lambda h: item(h, h["status"], h["source"], none, none))
+    met = F.transform(check_results(result), lambda h: item(h, none, none, h["reason"], h["severity"]))
+    got = L.record_fields(result)
+    ident, effect = cited(result, args)
+    quoted = F.struct(ident.alias("id"), F.lit("").alias("title"), F.array().cast("array<string>").alias("applies_to"))
+    items = (
+        F.when(name == "search", found).when(name == "get", F.array(item(got, got["status"], got["source"], none, none)))
+        .when(name == "check", met).when(name == "cite", F.array(item(quoted, none, none, none, none)))
+    )
+    return calls.select(
+        "checkout", "seq", "name", "at", "at_us", "error",
+        ((name == "search") & F.coalesce(F.try_variant_get(result, "$.truncated", "boolean"), F.lit(False))).alias("truncated"),
+        F.when(name == "search", call_query(args)).alias("query"),
+        F.when(name == "cite", ident).when(name == "remember", L.field(result, "id", "ID")).alias("id"),
+        F.when(name == "remember", remember_title(args)).alias("title"), F.when(name == "cite", effect).alias("effect"),
+        F.coalesce(items, F.array().cast(f"array<{ITEM}>")).alias("items"),
+    )
+
+
+def store_calls(calls: DataFrame) -> DataFrame:
+    """Typed calls written to the shared folder, so every section of a report reads a few columns of one table."""
+    typed = type_calls(calls)
+    path = new_folder(calls.sparkSession, "typed-calls")
+    typed.write.parquet(path)
+    return calls.sparkSession.read.schema(typed.schema).parquet(path)
+
+
 def classify_searches(calls: DataFrame) -> DataFrame:
     """One row per search call with its kind and flags (A5).
 
     Kind is failed, truncated, empty or hits.  A tool failure that carries no
     error text is empty here, while the review clock counts it as failed.
     """
-    truncated = F.coalesce(F.try_variant_get("result", "$.truncated", "boolean"), F.lit(False))
-    s = calls.where("name = 'search'").select(
-        "checkout", "seq", "at", call_query(F.col("args")).alias("query"), "error", truncated.alias("truncated"),
-        F.coalesce(search_results(F.col("result")), F.array()).alias("hits"),
-    )
+    s = type_calls(calls).where("name = 'search'")
     kind = (
         F.when(F.col("error") != "", "failed").when(F.col("truncated"), "truncated")
-        .when(F.size("hits") == 0, "empty").otherwise("hits")
+        .when(F.size("items") == 0, "empty").otherwise("hits")
     )
     s = s.withColumn("kind", kind)
     real = F.col("kind") == "hits"
-    top = F.get("hits", 0)
+    top = F.get("items", 0)
     return s.select(
         "checkout", "seq", "at", "query", "kind",
-        (real & F.forall("hits", lambda h: F.lower(h["source"]) == "fts")).alias("keyword_only"),
-        (real & F.forall("hits", lambda h: F.lower(h["source"]) == "vector")).alias("vector_only"),
+        (real & F.forall("items", lambda h: F.lower(h["source"]) == "fts")).alias("keyword_only"),
+        (real & F.forall("items", lambda h: F.lower(h["source"]) == "vector")).alias("vector_only"),
         (real & (F.lower(top["status"]) == "superseded")).alias("superseded_top"),
         F.when(real, top["id"]).alias("top_id"),
     )
 
 
+def named_records(calls: DataFrame, *names: str) -> DataFrame:
+    """``[checkout, seq, name, at, at_us, pos, <item fields>]`` of the records that successful calls of these names list."""
+    rows = type_calls(calls).where(F.col("name").isin(*names) & (F.col("error") == "") & ~F.col("truncated"))
+    return rows.select("checkout", "seq", "name", "at", "at_us", F.posexplode("items").alias("pos", "h")).select(
+        "checkout", "seq", "name", "at", "at_us", "pos", "h.*").where("id <> ''")
+
+
 def search_hits(calls: DataFrame) -> DataFrame:
     """``[checkout, seq, at_us, pos, id, title, applies_to, source]`` of successful searches."""
-    ok = (F.col("error") == "") & ~F.coalesce(F.try_variant_get("result", "$.truncated", "boolean"), F.lit(False))
-    rows = calls.where((F.col("name") == "search") & ok)
-    return rows.select("checkout", "seq", "at", "at_us", F.posexplode(search_results(F.col("result"))).alias("pos", "h")).select(
-        "checkout", "seq", "at", "at_us", "pos", "h.id", "h.title", "h.applies_to", F.lower("h.source").alias("source")
-    )
+    return named_records(calls, "search").select(
+        "checkout", "seq", "at", "at_us", "pos", "id", "title", "applies_to", F.lower("source").alias("source"))
 
 
 def uses(calls: DataFrame) -> DataFrame:
@@ -203,41 +251,23 @@ def uses(calls: DataFrame) -> DataFrame:
 
     Vector-only search hits do not count; a citation is consulted but not retrieved.
     """
-    ok = calls.where("error = ''")
-    hits = search_hits(calls).where("source <> 'vector'").select(
-        "checkout", "seq", "pos", "at", "id", "title", "applies_to", F.lit(True).alias("retrieved"), F.lit(False).alias("cited")
-    )
-    one = L.record_fields(F.col("result"))
-    gets = ok.where("name = 'get'").select("checkout", "seq", "at", one.alias("h")).select(
-        "checkout", "seq", F.lit(0).alias("pos"), "at", "h.id", "h.title", "h.applies_to",
-        F.lit(True).alias("retrieved"), F.lit(False).alias("cited"),
-    )
-    checks = ok.where("name = 'check'").select(
-        "checkout", "seq", "at", F.posexplode(check_results(F.col("result"))).alias("pos", "h")
-    ).select(
-        "checkout", "seq", "pos", "at", "h.id", "h.title", "h.applies_to", F.lit(True).alias("retrieved"), F.lit(False).alias("cited")
-    )
-    cites = cite_calls(ok).select(
-        "checkout", "seq", F.lit(0).alias("pos"), "at", "id", F.lit("").alias("title"),
-        F.array().cast("array<string>").alias("applies_to"), F.lit(False).alias("retrieved"), F.lit(True).alias("cited"),
-    )
-    return hits.unionByName(gets).unionByName(checks).unionByName(cites).where("id <> ''")
+    rows = named_records(calls, "search", "get", "check", "cite").where((F.col("name") != "search") | (F.lower("source") != "vector"))
+    return rows.select("checkout", "seq", "pos", "at", "id", "title", "applies_to", (F.col("name") != "cite").alias("retrieved"),
+                       (F.col("name") == "cite").alias("cited"))
 
 
-def cite_calls(calls: DataFrame) -> DataFrame:
-    """``[checkout, seq, at, id, effect]`` of citations; the result wins over the arguments."""
+def cited(result: Column, args: Column) -> tuple[Column, Column]:
+    """Id and effect of a citation; the result wins over the arguments."""
     def first(*values: Column) -> Column:
         return F.coalesce(*[F.when(v != "", v) for v in values], F.lit(""))
 
-    ident = first(
-        L.field(F.col("result"), "id", "ID"), L.field(F.col("args"), "id", "ID"),
-        F.try_variant_get("args", "$.args[0]", "string"),
-    )
-    effect = first(
-        L.field(F.col("result"), "effect", "Effect"), L.field(F.col("args"), "effect", "Effect"),
-        L.field(F.col("args"), "flags.effect", "flags.Effect"),
-    )
-    return calls.where("name = 'cite'").select("checkout", "seq", "at", ident.alias("id"), effect.alias("effect"))
+    ident = first(L.field(result, "id", "ID"), L.field(args, "id", "ID"), F.try_variant_get(args, "$.args[0]", "string"))
+    return ident, first(L.field(result, "effect", "Effect"), L.field(args, "effect", "Effect"), L.field(args, "flags.effect", "flags.Effect"))
+
+
+def cite_calls(calls: DataFrame) -> DataFrame:
+    """``[checkout, seq, at, id, effect]`` of citations."""
+    return type_calls(calls).where("name = 'cite'").select("checkout", "seq", "at", "id", "effect")
 
 
 def consulted(used: DataFrame) -> DataFrame:

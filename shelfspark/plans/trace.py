@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions import logs as L
 from ..operators import calls as K
 from ..operators import changes as D
 
@@ -15,25 +14,20 @@ def trace(calls: DataFrame, changes: DataFrame | None = None, records: DataFrame
           after: Column | None = None, until: Column | None = None) -> dict[str, DataFrame]:
     """One DataFrame per section; ``calls`` comes from ``pair_calls``.
 
-    ``changes[checkout, path]`` adds the sections about consulted and missed
-    records.
+    The log is paired and its values are read once, into a stored table of typed calls; every section reads the columns
+    it needs of that table.  ``changes[checkout, path]`` adds the sections about consulted and missed records.
     """
-    seen = K.reported_calls(calls, after, until)
-    ok = seen.where("error = ''")
+    seen = K.store_calls(K.reported_calls(calls, after, until))
     used = K.uses(seen)
     hits = K.search_hits(seen)
-    got = ok.where("name = 'get'").select("checkout", "seq", "at", "at_us", L.record_fields(F.col("result")).alias("h")).select(
-        "checkout", "seq", "at", "at_us", "h.id", "h.title"
-    ).where("id <> ''")
-    written = ok.where("name = 'remember'").select(
-        "checkout", "seq", "at", "at_us", L.field(F.col("result"), "id", "ID").alias("id"), K.remember_title(F.col("args")).alias("title")
-    )
+    ok = seen.where("error = ''")
     out = {
         "counts": K.call_counts(seen),
         "searches": K.classify_searches(seen),
-        "gets": K.follow_through(got, hits),
-        "remembers_without_search": K.without_search(written, seen.where("name = 'search'")),
-        "check_matches": ok.where("name = 'check'").select("checkout", "seq", "at", F.inline(K.check_results(F.col("result")))),
+        "gets": K.follow_through(K.named_records(seen, "get").select("checkout", "seq", "at", "at_us", "id", "title"), hits),
+        "remembers_without_search": K.without_search(
+            ok.where("name = 'remember'").select("checkout", "seq", "at", "at_us", "id", "title"), seen.where("name = 'search'")),
+        "check_matches": K.named_records(seen, "check").select("checkout", "seq", "at", "id", "title", "applies_to", "reason", "severity"),
         "cites": K.cite_calls(ok).where("id <> ''"),
         "citation_rate": K.citation_rate(used),
         "consulted": K.consulted(used),

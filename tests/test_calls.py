@@ -63,6 +63,17 @@ def test_digest(spark, tmp_path):
     assert [(r.id, r.reason, r.severity) for r in out["check_matches"].collect()] == [("rec_c", "applies_to", "must")]
 
 
+def test_sections_read_stored_calls_only(spark, tmp_path):
+    """The log is paired once: every section is a scan of the typed calls with the columns it needs."""
+    out = trace(load(spark, tmp_path, DIGEST))
+    for name, section in out.items():
+        files = section.inputFiles()
+        assert files and all("/typed-calls-" in f for f in files), name
+    plan = out["counts"]._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<checkout:string,name:string>" in plan
+    assert "variant" not in plan.lower()
+
+
 def test_out_of_order_ids(spark, tmp_path):
     stuck = {"ts": stamp(0), "dir": "in", "command": "search", "args": {"query": "stuck"}}
     a, b = call("c_a", "search", 1, {"query": "alpha"}, []), call("c_b", "search", 2, {"query": "beta"}, [{"id": "r", "source": "fts"}])
