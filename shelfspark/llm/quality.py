@@ -34,7 +34,9 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 BUCKETS = 1 << 16
 SCALE = 1_000_000
 #: Mean log ratio (natural log) below which a document is rejected.
-THRESHOLD = -0.25
+THRESHOLD = -0.2
+#: Lengths of the n-grams that one multinomial counts together.
+ORDERS = (1, 2)
 #: Added to the n-gram count when dividing, so very short texts need more evidence.
 PRIOR_NGRAMS = 20
 #: Bound of the trusted sample; its ids are broadcast (8 bytes each).
@@ -76,8 +78,8 @@ def _repeat_words(hashes: Column) -> Column:
     return let(windows, of)
 
 
-def measure(text: Column, buckets: int = BUCKETS, n: int = 1) -> Column:
-    """Struct of the rule counts, ``base_failed`` and ``grams``: the buckets of all word n-grams, repeats kept.
+def measure(text: Column, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> Column:
+    """Struct of the rule counts, ``base_failed`` and ``grams``: the buckets of all word n-grams of these lengths, repeats kept.
 
     Counts of one text are exact but for equal 64-bit hashes of different five-word windows.
     """
@@ -86,11 +88,17 @@ def measure(text: Column, buckets: int = BUCKETS, n: int = 1) -> Column:
     symbols = F.when(t.rlike(f"[{SYMBOLS}]"), F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).otherwise(0)
     size = F.lit(buckets).cast("long")
 
-    def grams(hashes: Column) -> Column:
+    def bucket(h: Column) -> Column:
+        return F.pmod(h, size).cast("int")
+
+    def of_order(hashes: Column, n: int) -> Column:
         if n == 1:
-            return F.transform(hashes, lambda h: F.pmod(h, size).cast("int"))
+            return F.transform(hashes, bucket)
         starts = F.slice(hashes, 1, F.greatest(F.size(hashes) - n + 1, F.lit(0)))
-        return F.transform(starts, lambda h, i: F.pmod(F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, n)]), size).cast("int"))
+        return F.transform(starts, lambda h, i: bucket(F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, n)])))
+
+    def grams(hashes: Column) -> Column:
+        return F.concat(*[of_order(hashes, n) for n in orders])
 
     def of(pieces: Column, hashes: Column, repeats: Column) -> Column:
         count = F.size(hashes).cast("long")
@@ -109,10 +117,11 @@ def measure(text: Column, buckets: int = BUCKETS, n: int = 1) -> Column:
         lambda hashes: let(_repeat_words(hashes), lambda repeats: of(pieces, hashes, repeats))))
 
 
-def measured(docs: DataFrame, text: str = "text", keep: list[str] | None = None, buckets: int = BUCKETS, n: int = 1) -> DataFrame:
+def measured(docs: DataFrame, text: str = "text", keep: list[str] | None = None, buckets: int = BUCKETS,
+             orders: tuple[int, ...] = ORDERS) -> DataFrame:
     """``keep`` columns (default: all) of every document plus what ``measure`` finds, written to the shared folder."""
     keep = docs.columns if keep is None else keep
-    found = docs.withColumn("_found", measure(F.col(text), buckets, n))
+    found = docs.withColumn("_found", measure(F.col(text), buckets, orders))
     return written(found.select(*[c for c in keep if c not in (*COUNTS, "_found", "_grams", "_weights")], *[F.col("_found")[c].alias(c) for c in COUNTS],
                                 F.col("_found")["grams"].alias("_grams")), "quality")
 
@@ -160,8 +169,8 @@ def judge(found: DataFrame, model: DataFrame, threshold: float = THRESHOLD) -> D
 
 
 def quality(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", keep: list[str] | None = None,
-            buckets: int = BUCKETS, n: int = 1, threshold: float = THRESHOLD, most_trusted: int = MAX_TRUSTED) -> DataFrame:
+            buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS, threshold: float = THRESHOLD, most_trusted: int = MAX_TRUSTED) -> DataFrame:
     """Measure, train on these documents and their labels, and judge every document."""
-    found = measured(docs, text, keep, buckets, n)
+    found = measured(docs, text, keep, buckets, orders)
     model = written(train(found, trusted_ids(labels, id_col, most=most_trusted), id_col, buckets), "quality-model")
     return judge(found, model, threshold)

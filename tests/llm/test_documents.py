@@ -146,12 +146,33 @@ def _rules(text):
             len(words) < 10 or 100 * len(repeated) > 20 * len(words))
 
 
+def test_quality_counts_word_pairs(spark):
+    """Single words come first, then neighbours in order, so a shuffled text of trusted words scores lower."""
+    texts = ["a b a c", "one", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r["_grams"] for r in quality.measured(rows).collect()}
+    size = quality.BUCKETS
+    for i, text in enumerate(texts):
+        words = BLANKS.findall(text or "")
+        one = [spark.sql(f"SELECT pmod(xxhash64('{w}'), {size})").first()[0] for w in words]
+        two = [spark.sql(f"SELECT pmod(xxhash64(xxhash64('{a}'), xxhash64('{b}')), {size})").first()[0] for a, b in zip(words, words[1:])]
+        assert got[i] == one + two
+    good = "the seal on the jar was set in warm wax by hand before noon"
+    mixed = " ".join(sorted(good.split()))
+    rows = spark.createDataFrame([(1, good), (2, good), (3, mixed), (4, "buy cheap pills now " * 5)], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
+    ratio = {r.doc_id: r.ratio for r in quality.quality(rows, labels).collect()}
+    assert ratio[1] == ratio[2] > ratio[3] > ratio[4]
+    alone = {r.doc_id: r.ratio for r in quality.quality(rows, labels, orders=(1,)).collect()}
+    assert alone[1] == alone[3]
+
+
 def test_quality(docs, labels, monkeypatch):
     found = quality.measured(docs)
     assert found.count() == len(TEXTS) + 2
     for r in found.collect():
         assert tuple(r[c] for c in quality.COUNTS) == _rules(r.text or "")
-        assert len(r["_grams"]) == r.n_words
+        assert len(r["_grams"]) == r.n_words + max(r.n_words - 1, 0)
     good = {r.doc_id for r in labels.collect() if r.quality == 1 and r.doc_id is not None}
     raw, target = collections.Counter(), collections.Counter()
     for r in found.collect():
