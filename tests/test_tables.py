@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions import records as R
 from shelfspark.operators import embedding as E
 from shelfspark.operators import links as K
+from shelfspark.operators import sizing
 from shelfspark.operators import tables as W
 from shelfspark.operators.excerpts import excerpt
 from shelfspark.operators.keyword import build_index
@@ -315,3 +316,17 @@ def test_repeated_keys_without_order_agree(spark):
     rows = spark.createDataFrame([("k", "b"), ("k", "a"), ("k", "c")], "key string, v string")
     got = {W.last_per(rows.repartition(n), ["key"]).first()["v"] for n in (1, 2, 3)}
     assert got == {"c"}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_a_side_measured_as_large_is_never_broadcast(spark, monkeypatch, how):
+    rows = spark.createDataFrame([(n % 7, n) for n in range(40)], "k int, v int")
+    keys = spark.range(5).select(F.col("id").cast("int").alias("k"))
+    monkeypatch.setattr(sizing, "is_small", lambda df: False)
+    found = sizing.lookup_join(rows, keys, ["k"], how)
+    assert "Broadcast" not in _plan(found)
+    assert sorted(found.select("v").collect()) == sorted(rows.join(keys, "k", how).select("v").collect())
