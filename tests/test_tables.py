@@ -330,3 +330,16 @@ def test_a_side_measured_as_large_is_never_broadcast(spark, monkeypatch, how):
     found = sizing.lookup_join(rows, keys, ["k"], how)
     assert "Broadcast" not in _plan(found)
     assert sorted(found.select("v").collect()) == sorted(rows.join(keys, "k", how).select("v").collect())
+
+
+def test_indexing_files_broadcasts_no_table(spark):
+    from shelfspark.schemas import EDGES, SYMBOLS
+
+    schema = "checkout string, path string, content_hash string"
+    files = spark.createDataFrame([("", "a", "1"), ("", "b", "1"), ("", "gone", "1")], schema)
+    tree = spark.createDataFrame([("", "a", "1", "x"), ("", "b", "2", "y"), ("", "c", "1", "z")], schema + ", content string")
+    none = spark.createDataFrame([], SYMBOLS), spark.createDataFrame([], EDGES)
+    seen = []
+    out = W.index_files(files, *none, tree, lambda df: seen.append(df) or none)
+    assert "Broadcast" not in _plan(seen[0]) and "Broadcast" not in _plan(W.prune_unseen(files, tree))
+    assert sorted(tuple(r) for r in out["files"].collect()) == [("", "a", "1"), ("", "b", "2"), ("", "c", "1")]
