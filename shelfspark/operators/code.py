@@ -41,11 +41,11 @@ def term_hits(rows: DataFrame, fields: list[str], terms: DataFrame, keep: list[s
     words = asked.select("checkout", "term").distinct().withColumn("gram", F.substr("term", F.lit(1), F.lit(GRAM)))
     sizes = sorted(r["n"] for r in words.select(F.char_length("gram").alias("n")).distinct().collect() if r["n"])
 
-    def grams(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.char_length(text) - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))
+    def grams(chars: Column, n: int) -> Column:
+        return F.transform(chars, lambda c, i: F.concat(c, *[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(1, n)]))
 
-    found = F.concat(*[grams(n) for n in sizes]) if sizes else F.array().cast("array<string>")
+    # the text is folded once a row, not once a place; the last pieces are shorter
+    found = X.let(F.split(text, ""), lambda chars: F.concat(*[grams(chars, n) for n in sizes])) if sizes else F.array().cast("array<string>")
     carried = list(dict.fromkeys(["checkout", *keep, *fields]))
     pieces = rows.select(*carried, F.explode(F.array_distinct(found)).alias("gram"))
     # every distinct word is tested once, however many queries hold it
@@ -180,7 +180,11 @@ def importers_by_query(edges: DataFrame | SubstringIndex, queries: DataFrame, li
     if isinstance(edges, SubstringIndex):
         hits = substring_index.term_hits(edges, code_terms(queries))
     else:
-        hits = term_hits(edges.select("checkout", *EDGE).distinct(), ["to_path"], code_terms(queries), EDGE)
+        # a target is tested once, however many files import it
+        hits = term_hits(edges.select("checkout", "to_path").distinct(), ["to_path"], code_terms(queries), ["checkout", "to_path"])
+        held = hits.groupBy("query_id", "n_terms", "checkout", "to_path").agg(F.count_distinct("term").alias("n")).where("n = n_terms")
+        found = lookup_join(edges, held.select("query_id", "checkout", "to_path"), ["checkout", "to_path"])
+        return _capped(found.select("query_id", *EDGE).distinct(), limit)
     full = hits.groupBy("query_id", "n_terms", *EDGE).agg(F.count_distinct("term").alias("n")).where("n = n_terms")
     return _capped(full.select("query_id", *EDGE), limit)
 

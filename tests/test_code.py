@@ -162,3 +162,19 @@ def test_binary_and_line_numbers(spark):
 
     df = spark.createDataFrame([(bytearray(b"ok"),), (bytearray(b"a\x00b"),), (bytearray(b"\xff\xfe"),), (bytearray(b""),)], "c binary")
     assert [r.b for r in df.select(P.is_binary_content(F.col("c")).alias("b")).collect()] == [False, True, True, False]
+
+
+def test_explore_searches_symbols_once(spark, monkeypatch):
+    from shelfspark.plans import explore as plan
+
+    symbols = spark.createDataFrame([("", "src/a.py", 1, "load", "def", 1, "load it", True)],
+                                    "checkout string, file_path string, seq int, name string, kind string, line int, doc string, exported boolean")
+    files = spark.createDataFrame([("", "src/a.py", "pkg")], "checkout string, path string, package_name string")
+    edges = spark.createDataFrame([("", f"src/{c}.py", "lib/load", "import") for c in "abb"], "checkout string, from_file string, to_path string, edge_type string")
+    commits = spark.createDataFrame([], "checkout string, hash string, authored_at timestamp, subject string, body string")
+    asked = spark.createDataFrame([(1, "", "load")], "query_id int, checkout string, text string")
+    cut = []
+    monkeypatch.setattr(plan, "cut_lineage", lambda df: cut.append(df) or df.localCheckpoint())
+    out = plan.explore(symbols, files, edges, commits, asked)
+    assert len(cut) == 2 and [r.file_path for r in out["symbols"].collect()] == ["src/a.py"]
+    assert [(r.from_file, r.to_path, r["rank"]) for r in out["importers"].orderBy("rank").collect()] == [("src/a.py", "lib/load", 1), ("src/b.py", "lib/load", 2)]
