@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import paths as P
 from ..functions import text as X
+from ..session import cut_lineage
 from . import substring_index
 from .sizing import lookup_join
 from .substring_index import SubstringIndex
@@ -30,15 +31,18 @@ def code_terms(queries: DataFrame) -> DataFrame:
     return q.select("query_id", "checkout", "n_terms", need.alias("need"), F.explode("terms").alias("term"))
 
 
-def term_hits(rows: DataFrame, fields: list[str], terms: DataFrame, keep: list[str]) -> DataFrame:
-    """``[query_id, n_terms, need, term, *keep, in_<field>...]`` of terms found in any field.
+def _folded_terms(terms: DataFrame) -> DataFrame:
+    return terms.withColumn("term", X.ascii_fold(F.trim("term")))
+
+
+def word_hits(rows: DataFrame, fields: list[str], words: DataFrame, keep: list[str]) -> DataFrame:
+    """``[checkout, term, *keep, *fields, in_<field>...]`` of the distinct, folded ``words[checkout, term]`` found in any field.
 
     ``rows`` carries ``checkout`` and the fields; ``keep`` identifies a row.
     """
     folded = [X.ascii_fold(F.coalesce(F.col(f), F.lit(""))) for f in fields]
     text = F.concat_ws("\n", *folded)
-    asked = terms.withColumn("term", X.ascii_fold(F.trim("term")))
-    words = asked.select("checkout", "term").distinct().withColumn("gram", F.substr("term", F.lit(1), F.lit(GRAM)))
+    words = words.withColumn("gram", F.substr("term", F.lit(1), F.lit(GRAM)))
     sizes = sorted(r["n"] for r in words.select(F.char_length("gram").alias("n")).distinct().collect() if r["n"])
 
     def grams(chars: Column, n: int) -> Column:
@@ -54,26 +58,55 @@ def term_hits(rows: DataFrame, fields: list[str], terms: DataFrame, keep: list[s
     hit = flags[0]
     for flag in flags[1:]:
         hit = hit | flag
-    hits = met.where(hit).withColumns({f"in_{f}": flag for f, flag in zip(fields, flags)})
+    return met.where(hit).withColumns({f"in_{f}": flag for f, flag in zip(fields, flags)})
+
+
+def term_hits(rows: DataFrame, fields: list[str], terms: DataFrame, keep: list[str]) -> DataFrame:
+    """``word_hits`` with the queries that ask for the word: ``[query_id, n_terms, need]``."""
+    asked = _folded_terms(terms)
+    hits = word_hits(rows, fields, asked.select("checkout", "term").distinct(), keep)
     return lookup_join(hits, asked, ["checkout", "term"], spread=F.xxhash64(*keep))
 
 
-def strict_then_partial(hits: DataFrame, keep: list[str], sums: dict[str, Column], order: list[Column],
-                        limit: int) -> DataFrame:
+def strict_then_partial(hits: DataFrame, asked: DataFrame, keep: list[str], sums: dict[str, str], same: list[str],
+                        order: list[Column], within: list[Column], limit: int, shown: list[str]) -> DataFrame:
     """Rows with every term; the two-thirds retry only for queries without such a row.
 
-    Both classes are cut to ``limit`` before they meet, so the choice is made on
-    2 x limit rows per query.
+    ``hits[checkout, term, *keep, *shown, in_<field>...]`` of distinct words, ``asked[query_id, checkout, term, n_terms,
+    need]``.  ``sums`` names a flag for each count; ``order`` ranks by counts and ``same`` columns, ``within`` by other
+    columns of ``keep``.
+
+    Rows of a checkout in which the same words are found in the same fields, and which agree in ``same``, stand in the
+    order ``within`` for every query.  So queries meet such groups, not rows, and a group needs only its first ``limit``
+    rows.  Both classes of hits are cut to the ``limit`` best groups before they meet.
     """
-    scored = hits.groupBy("query_id", "n_terms", "need", *keep).agg(
-        F.count_distinct("term").alias("n_hit"), *[col.alias(name) for name, col in sums.items()]
-    )
+    flags = list(sums.values())
+    row = list(dict.fromkeys(["checkout", *keep]))
+    held = F.array_sort(F.collect_list(F.struct("term", *flags))).alias("words")
+    rows = hits.groupBy(*row).agg(held, *[F.first(c).alias(c) for c in shown])
+    alike = ["checkout", "words", *same]
+    pos = F.row_number().over(Window.partitionBy(*alike).orderBy(*within))
+    members = F.array_sort(F.collect_list(F.struct("pos", *[c for c in [*row, *shown] if c not in ["checkout", *same]]))).alias("members")
+    groups = rows.withColumn("pos", pos).where(F.col("pos") <= limit).groupBy(*alike).agg(members)
+    # written once, which also fixes the numbers
+    groups = cut_lineage(groups.withColumn("group", F.monotonically_increasing_id()))
+
+    head = F.col("members")[0]
+    words = groups.select("group", "checkout", F.explode("words").alias("word")).select("group", "checkout", "word.*")
+    scored = lookup_join(words, asked, ["checkout", "term"], spread=F.col("group")).groupBy("query_id", "n_terms", "need", "group").agg(
+        F.count_distinct("term").alias("n_hit"), *[F.sum(F.col(flag).cast("int")).alias(name) for name, flag in sums.items()])
     cls = F.when(F.col("n_hit") >= F.col("n_terms"), 0).when(F.col("n_hit") >= F.col("need"), 1)
-    ranked = scored.withColumn("class", cls).where("class IS NOT NULL").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("query_id", "class").orderBy(*order))
+    classed = scored.withColumn("class", cls).where("class IS NOT NULL").drop("n_hit", "need", "n_terms")
+    heads = groups.select("group", *same, head.alias("head")).select("group", *same, "head.*")
+    ranked = lookup_join(classed, heads, ["group"]).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("query_id", "class").orderBy(*order, *within))
     ).where(F.col("rank") <= limit)
-    best = F.min("class").over(Window.partitionBy("query_id"))
-    return ranked.withColumn("best", best).where("class = best").drop("best", "class", "n_hit", "need", "n_terms")
+    best = ranked.withColumn("best", F.min("class").over(Window.partitionBy("query_id"))).where("class = best")
+    chosen = cut_lineage(best.select("query_id", "group", *sums))  # at most ``limit`` groups a query
+    of_group = groups.select("group", "checkout", *same, F.explode("members").alias("m")).select("group", "checkout", *same, "m.*").drop("pos")
+    full = lookup_join(of_group, chosen, ["group"]).drop("group")
+    at = F.row_number().over(Window.partitionBy("query_id").orderBy(*order, *within))
+    return full.withColumn("rank", at).where(F.col("rank") <= limit).select("query_id", *keep, *sums, *shown, "rank")
 
 
 SYMBOL_KEEP = ["file_path", "seq", "name", "kind", "line", "exported"]
@@ -104,12 +137,16 @@ def write_edge_index(edges: DataFrame, path: str, **sizes: int) -> None:
     substring_index.write_substrings(edges.select("checkout", *EDGE).distinct(), ["to_path"], EDGE, path, **sizes)
 
 
-def _stored_search(index: SubstringIndex, queries: DataFrame, sums: dict[str, Column], order: list[Column], limit: int,
-                   shown: list[str]) -> DataFrame:
-    """Ranked on keys and counts; the shown texts are read for the final hits only."""
-    hits = substring_index.term_hits(index, code_terms(queries))
-    best = strict_then_partial(hits, ["checkout", "row", *index.keep], sums, order, limit)
-    return substring_index.with_fields(index, best, shown).drop("checkout", "row")
+def _ranked_search(table: DataFrame | SubstringIndex, fields: list[str], keep: list[str], queries: DataFrame, sums: dict[str, str],
+                   same: list[str], order: list[Column], within: list[Column], limit: int, shown: list[str]) -> DataFrame:
+    """A stored index ranks keys and counts; the shown texts are read for the final hits only."""
+    asked = _folded_terms(code_terms(queries))
+    if isinstance(table, SubstringIndex):
+        hits = substring_index.word_hits(table, asked.select("checkout", "term"))
+        best = strict_then_partial(hits, asked, ["checkout", "row", *table.keep], sums, same, order, within, limit, [])
+        return substring_index.with_fields(table, best, shown).drop("checkout", "row")
+    hits = word_hits(table, fields, asked.select("checkout", "term").distinct(), keep)
+    return strict_then_partial(hits, asked, keep, sums, same, order, within, limit, shown)
 
 
 def search_symbols(symbols: DataFrame | SubstringIndex, files: DataFrame | None, queries: DataFrame, limit: int = C.EXPLORE_LIMIT) -> DataFrame:
@@ -118,21 +155,17 @@ def search_symbols(symbols: DataFrame | SubstringIndex, files: DataFrame | None,
     Order: name hits, exported, doc hits, path, line, then ``seq``.  A stored
     index holds the packages, so it needs no ``files``.
     """
-    sums = {"name_hits": F.sum(F.col("in_name").cast("int")), "doc_hits": F.sum(F.col("in_doc").cast("int"))}
-    order = [F.desc("name_hits"), F.desc("exported"), F.desc("doc_hits"), F.col("file_path"), F.col("line"), F.col("seq")]
-    if isinstance(symbols, SubstringIndex):
-        return _stored_search(symbols, queries, sums, order, limit, ["doc"])
-    hits = term_hits(with_packages(symbols, files), SYMBOL_FIELDS, code_terms(queries), SYMBOL_KEEP)
-    return strict_then_partial(hits, SYMBOL_KEEP, {**sums, "doc": F.first("doc")}, order, limit)
+    table = symbols if isinstance(symbols, SubstringIndex) else with_packages(symbols, files)
+    order = [F.desc("name_hits"), F.desc("exported"), F.desc("doc_hits")]
+    within = [F.col("file_path"), F.col("line"), F.col("seq")]
+    sums = {"name_hits": "in_name", "doc_hits": "in_doc"}
+    return _ranked_search(table, SYMBOL_FIELDS, SYMBOL_KEEP, queries, sums, ["exported"], order, within, limit, ["doc"])
 
 
 def search_commits(commits: DataFrame | SubstringIndex, queries: DataFrame, limit: int = C.EXPLORE_LIMIT) -> DataFrame:
     """Commits whose subject or body holds the terms, newest first."""
-    order = [F.desc("authored_at"), F.col("hash")]
-    if isinstance(commits, SubstringIndex):
-        return _stored_search(commits, queries, {}, order, limit, COMMIT_FIELDS)
-    hits = term_hits(commits, COMMIT_FIELDS, code_terms(queries), COMMIT_KEEP)
-    return strict_then_partial(hits, COMMIT_KEEP, {f: F.first(f) for f in COMMIT_FIELDS}, order, limit)
+    within = [F.desc("authored_at"), F.col("hash")]
+    return _ranked_search(commits, COMMIT_FIELDS, COMMIT_KEEP, queries, {}, [], [], within, limit, COMMIT_FIELDS)
 
 
 def _capped(edges: DataFrame, limit: int, first: list[Column] | None = None) -> DataFrame:

@@ -166,18 +166,25 @@ def with_entries(index: SubstringIndex, wanted: DataFrame) -> DataFrame:
     return out.drop("bucket")
 
 
-def term_hits(index: SubstringIndex, terms: DataFrame) -> DataFrame:
-    """``[query_id, n_terms, need, checkout, term, row, *keep, in_<field>...]`` of terms found in any field.
+def word_hits(index: SubstringIndex, words: DataFrame) -> DataFrame:
+    """``[checkout, term, row, *keep, in_<field>...]`` of folded ``words[checkout, term]`` found in any field.
 
-    ``terms[query_id, checkout, term, n_terms, need]``; an empty term is found nowhere.  A term is looked up once,
-    however many queries hold it.
+    A word is looked up once; an empty one is found nowhere.
     """
-    asked = terms.withColumn("term", X.ascii_fold(F.trim("term"))).where("term <> ''")
-    words = cut_lineage(asked.select("checkout", "term").distinct())
+    words = cut_lineage(words.where("term <> ''").distinct())
     met = with_entries(index, candidates(index, words)).where(F.col("entry")["checkout"] == F.col("checkout"))
     flags = {f"in_{f}": F.contains(_folded(F.col("entry")[f]), F.col("term")) for f in index.fields}
     hits = met.select("checkout", "term", "row", *[F.col("entry")[k].alias(k) for k in index.keep], *[c.alias(n) for n, c in flags.items()])
-    return lookup_join(hits.where(" OR ".join(flags)), asked, ["checkout", "term"], spread=F.col("row"))
+    return hits.where(" OR ".join(flags))
+
+
+def term_hits(index: SubstringIndex, terms: DataFrame) -> DataFrame:
+    """``[query_id, n_terms, need, checkout, term, row, *keep, in_<field>...]`` of terms found in any field.
+
+    ``terms[query_id, checkout, term, n_terms, need]``; an empty term is found nowhere.
+    """
+    asked = terms.withColumn("term", X.ascii_fold(F.trim("term"))).where("term <> ''")
+    return lookup_join(word_hits(index, asked.select("checkout", "term")), asked, ["checkout", "term"], spread=F.col("row"))
 
 
 def with_fields(index: SubstringIndex, found: DataFrame, names: list[str]) -> DataFrame:

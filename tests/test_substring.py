@@ -124,3 +124,41 @@ def test_stored_searches_equal_plain_ones(spark, tmp_path):
     plain = code.search_commits(commits, queries)
     found = code.search_commits(S.open_substrings(spark, f"{tmp_path}/c"), queries)
     assert sorted(found.select(plain.columns).collect(), key=key) == sorted(plain.collect(), key=key)
+
+
+def test_symbol_search_equals_brute_force(spark):
+    rnd = random.Random(5)
+    words = ["jar", "seal", "wax", "stamp"]
+    rows = [("m", f"p{rnd.randrange(40):02}", i, f"{rnd.choice(words)} {rnd.choice(words)}", "function", i % 3, rnd.choice(["", "jar wax"]), i % 2 == 0) for i in range(120)]
+    symbols = spark.createDataFrame(rows, "checkout string, file_path string, seq int, name string, kind string, line int, doc string, exported boolean")
+    files = spark.createDataFrame([], "checkout string, path string, package_name string")
+    texts = ["jar", "seal wax", "jar stamp zzz", "stamp p07"]
+    queries = spark.createDataFrame([(i, "m", t) for i, t in enumerate(texts)], "query_id int, checkout string, text string")
+    for limit in (1, 4, 200):
+        want = set()
+        for i, text in enumerate(texts):
+            terms = text.split()
+            need = len(terms) if len(terms) <= 2 else -(-2 * len(terms) // 3)
+            found = []
+            for _, path, seq, name, _, line, doc, exported in rows:
+                n = sum(t in f"{name}\n{doc}\n{path}" for t in terms)
+                if n:
+                    found.append((n, -sum(t in name for t in terms), not exported, -sum(t in doc for t in terms), path, line, seq))
+            kept = [f for f in found if f[0] == len(terms)] or [f for f in found if need < len(terms) and f[0] >= need]
+            want |= {(i, f[6], -f[1], -f[3], rank) for rank, f in enumerate(sorted(kept, key=lambda f: f[1:])[:limit], 1)}
+        got = code.search_symbols(symbols, files, queries, limit).select("query_id", "seq", "name_hits", "doc_hits", "rank")
+        assert {tuple(r) for r in got.collect()} == want
+
+
+def test_queries_meet_groups_of_symbols(spark, monkeypatch):
+    """Symbols in which the same words are found meet the queries as one group of at most ``limit`` members."""
+    symbols = spark.range(500).select(
+        F.lit("m").alias("checkout"), F.concat(F.lit("p"), "id").alias("file_path"), F.col("id").alias("seq"), F.lit("jar").alias("name"),
+        F.lit("function").alias("kind"), F.lit(1).alias("line"), F.lit("").alias("doc"), F.lit(True).alias("exported"))
+    files = spark.createDataFrame([], "checkout string, path string, package_name string")
+    queries = spark.range(20).select(F.col("id").alias("query_id"), F.lit("m").alias("checkout"), F.lit("jar").alias("text"))
+    written, cut = [], code.cut_lineage
+    monkeypatch.setattr(code, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    found = code.search_symbols(symbols, files, queries, 7)
+    assert written[0].select(F.size("members")).collect() == [(7,)] and written[1].count() == 20
+    assert found.count() == 140
