@@ -40,13 +40,13 @@ class CallPairing(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for frame in rows:
-            new = [(int(r[0]), int(r[1]), r[2], int(r[3]), r[4], r[5]) for r in frame[["us", "ns", "file", "line_no", "dir", "name"]].itertuples(index=False)]
+            new = list(zip(*[frame[c].tolist() for c in ("us", "ns", "file", "line_no", "dir", "name")]))
             if new:
                 self.waiting.appendList(new)
                 first = min([x[0] for x in new] + ([] if first is None else [first]))
         if first is not None:
             self._wake(first)
-        yield self._frame(key, [])
+        yield from ()  # calls come with the timers; a frame of no rows for each key would cost more than its lines
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
@@ -76,20 +76,23 @@ class CallPairing(StatefulProcessor):
         nexts = [x[0] for x in rest] + ([queue[0][0] + self.expiry_us] if queue else [])
         if nexts:
             self._wake(min(nexts))
-        yield self._frame(key, calls)
+        if calls:
+            yield self._frame(key, calls)
 
     @staticmethod
     def _frame(key, calls: list[tuple]) -> pd.DataFrame:
-        rows = []
-        for opened, closed in calls:
-            a, b = opened or (None,) * 6, closed or (None,) * 6
-            rows.append((key[0], (opened or closed)[5], a[2], a[3], b[2], b[3], a[0], b[0]))
-        out = pd.DataFrame(rows, columns=["checkout", "name", "in_file", "in_line", "out_file", "out_line", "in_ts", "out_ts"], dtype="object")
-        for c in ("in_line", "out_line"):
-            out[c] = out[c].astype("Int64")
-        for c in ("in_ts", "out_ts"):
-            out[c] = pd.to_datetime(out[c].astype("Int64"), unit="us", utc=True)
-        return out
+        def side(lines: list, at: int) -> list:
+            return [x and x[at] for x in lines]
+
+        ins, outs = zip(*calls)
+        return pd.DataFrame({
+            "checkout": pd.Series([key[0]] * len(calls), dtype="object"),
+            "name": pd.Series([(a or b)[5] for a, b in calls], dtype="object"),
+            "in_file": pd.Series(side(ins, 2), dtype="object"), "in_line": pd.array(side(ins, 3), dtype="Int64"),
+            "out_file": pd.Series(side(outs, 2), dtype="object"), "out_line": pd.array(side(outs, 3), dtype="Int64"),
+            "in_ts": pd.to_datetime(pd.array(side(ins, 0), dtype="Int64"), unit="us", utc=True),
+            "out_ts": pd.to_datetime(pd.array(side(outs, 0), dtype="Int64"), unit="us", utc=True),
+        })
 
     def close(self) -> None:
         pass

@@ -8,6 +8,7 @@ import os
 import random
 import time
 
+import pandas as pd
 from helpers import T0, records
 from pyspark.sql import functions as F
 
@@ -277,3 +278,44 @@ def test_embed_stream(spark, tmp_path):
     I.embed_stream(items, vec, att, plain, "m", 4, str(tmp_path / "ck"), max_attempts=3).awaitTermination(240)
     assert sorted(r.key for r in D.read_table(spark, vec, I.VECTORS, ["key"]).collect()) == ["a", "b", "c"]
     assert D.read_table(spark, att, ATTEMPTS, ["key"]).count() == 0 and len(D.read_manifest(spark, vec)) == len(manifest) + 1
+
+
+def test_pairing_makes_no_frame_without_calls():
+    """A key whose lines only wait yields nothing; a frame of no rows cost more than its lines."""
+    class State:
+        def __init__(self):
+            self.held = []
+
+        def appendList(self, rows):
+            self.held += rows
+
+        put = appendList
+
+        def get(self):
+            return iter(self.held)
+
+        def clear(self):
+            self.held = []
+
+    class Handle:
+        def getListState(self, name, schema):
+            return State()
+
+        def registerTimer(self, ms):
+            self.at = ms
+
+    class Now:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    pairing = S.CallPairing(10**9)
+    pairing.init(Handle())
+    lines = pd.DataFrame({"us": [5000, 9000], "ns": [5000000, 9000000], "file": ["", ""], "line_no": [2, 3], "dir": ["in", "out"], "name": ["n", "n"]})
+    assert list(pairing.handleInputRows(("c", "", "n"), iter([lines]), None)) == []
+    assert list(pairing.handleExpiredTimer(("c", "", "n"), Now(1), None)) == []
+    (calls,) = pairing.handleExpiredTimer(("c", "", "n"), Now(20), None)
+    assert calls[["checkout", "name", "in_line", "out_line"]].values.tolist() == [["c", "n", 2, 3]]
+    assert [calls[c].iloc[0].value for c in ("in_ts", "out_ts")] == [5_000_000, 9_000_000]
