@@ -180,7 +180,7 @@ def test_diff_paths(spark):
 
 
 def test_diff_paths_read_a_header_once(spark):
-    plan = spark.createDataFrame([(DIFF,)], "d string").select(P.diff_paths(F.col("d")))._jdf.queryExecution().analyzed().toString()
+    plan = spark.createDataFrame([(DIFF,)], "d string").select(P.diff_paths(F.col("d")).alias("p"))._jdf.queryExecution().analyzed().toString()
     assert plan.count(", 12, ") == 1
     odd = "x diff --git a/n b/n\n+line\n\ndiff --git a/p b/p\r\r\n+++ b/q\tnow\n--- dev/null\n +++ b/r"
     assert text(spark, P.diff_paths, odd) == ["p", "q"]
