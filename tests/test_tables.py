@@ -318,6 +318,25 @@ def test_repeated_keys_without_order_agree(spark):
     assert got == {"c"}
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_repeated_and_null_keys_keep_their_last_row(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(W, "is_small", lambda df: False)
+    data = [("a", None, 1), ("a", None, 2), (None, None, 3), (None, None, 4), ("a", "x", 5), ("b", "x", 6), ("b", "y", 7)]
+    got = W.last_per(spark.createDataFrame(data, "k string, l string, v int").repartition(3), ["k", "l"])
+    assert sorted(r.v for r in got.collect()) == [2, 4, 5, 6, 7]
+
+
+def test_rows_of_keys_that_are_not_repeated_are_neither_shuffled_nor_sorted(spark):
+    data = [("a", "r1"), ("b", "r1"), ("b", "r2"), (None, "r1")]
+    assert not any(x in _plan(W.last_per(spark.createDataFrame(data, "k string, body string"), ["k", "body"])) for x in ("Window", "Exchange", "Sort"))
+    base = records(spark, {"id": "a", "body": "old"}, {"id": "b"}).coalesce(1)
+    plan = W.plan_updates(base, spark.createDataFrame([("a", "new")], "id string, title string"), later())
+    assert "Window" not in _plan(plan)
+    after = by_id(W.apply_plan(base, plan))
+    assert (after["a"].title, after["a"].body, after["b"].title) == ("new", "old", "b")
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
