@@ -70,11 +70,11 @@ def new_path(spark: SparkSession, label: str) -> str:
 _RECORD: list[str] = []
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, and survives lost executors."""
     path = new_path(df.sparkSession, label)
     _RECORD.append(path)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

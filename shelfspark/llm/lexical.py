@@ -39,13 +39,20 @@ SCALE = 1_000_000_000
 STEPS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 512, 1024, 4096], dtype=np.int64)
 #: Positions of an entry, and bits of a column for each of its entries.
 HASHES, BITS = 4, 12
-#: Documents and entries of a block at most (a document with more entries is a block of its own).
-BLOCK_DOCS, BLOCK_ENTRIES = 2048, 1 << 19
+#: Documents, entries and bits of the signature of a block at most (a document with more is a block of its own).
+BLOCK_DOCS, BLOCK_ENTRIES, BLOCK_BITS = 2048, 1 << 18, 1 << 23
+#: Terms entered at once.
+ENTERED = 1 << 16
 #: Entries gathered before blocks are cut, so that blocks hold documents of like size.
 GATHER = 1 << 21
 #: Terms of one set of asked items, and cells of one matrix of terms by documents.
 MAX_ASKED, CELLS = 200_000, 1 << 21
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
+#: Bytes of a row group of the index.  Blocks are large rows, so every one is weighed: else a task would hold a hundred of
+#: them before it looks, and a reader all of a row group.
+GROUP_BYTES = 16 << 20
+GROUPED = {"parquet.block.size": str(GROUP_BYTES), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1",
+           "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 BLOCKS = ("doc_ids binary, nulls binary, sizes binary, most binary, n_bits long, signature binary, vocabulary binary, holders binary, "
           "offsets binary, places binary, counts binary")
 
@@ -65,12 +72,10 @@ class _Docs:
     nulls: np.ndarray
     sizes: np.ndarray  # terms with repeats
     distinct: np.ndarray
+    entries: np.ndarray
     terms: np.ndarray
     counts: np.ndarray
 
-    def entries(self) -> np.ndarray:
-        return np.add.reduceat(np.searchsorted(STEPS, self.counts, side="right"), np.cumsum(self.distinct) - self.distinct)
-
 
 def _read(table) -> _Docs | None:
     import pyarrow.compute as pc
@@ -88,20 +93,23 @@ def _read(table) -> _Docs | None:
     counts = np.diff(np.append(at, len(found)))
     held, distinct = np.unique(docs[at], return_counts=True)
     sizes = np.bincount(docs, minlength=table.num_rows)[held]
+    entries = np.add.reduceat(np.searchsorted(STEPS, counts, side="right"), np.cumsum(distinct) - distinct)
     ids = table["doc_id"]
-    return _Docs(pc.fill_null(ids, 0).to_numpy()[held], pc.is_null(ids).to_numpy()[held], sizes, distinct, found[at], counts)
+    return _Docs(pc.fill_null(ids, 0).to_numpy()[held], pc.is_null(ids).to_numpy()[held], sizes, distinct, entries, found[at],
+                 counts.astype(np.uint32))
 
 
 def _blocks(parts: list[_Docs]) -> Iterator[dict]:
-    """Blocks of documents with like numbers of entries."""
+    """Blocks of documents with like numbers of entries; takes the parts out of the list."""
     docs = _Docs(*[np.concatenate([getattr(p, f) for p in parts]) for f in _Docs.__dataclass_fields__])
-    ends = np.cumsum(docs.distinct)
-    entries = docs.entries()
+    parts.clear()
+    ends, entries = np.cumsum(docs.distinct), docs.entries
     order = np.argsort(entries, kind="stable")
     at = 0
     while at < len(order):
-        cut = int(np.searchsorted(np.cumsum(entries[order[at : at + BLOCK_DOCS]]), BLOCK_ENTRIES, side="right"))
-        part = order[at : at + max(1, cut)]
+        near = entries[order[at : at + BLOCK_DOCS]]
+        fit = (np.cumsum(near) <= BLOCK_ENTRIES) & (BITS * near * np.arange(1, len(near) + 1) <= BLOCK_BITS)  # both only grow
+        part = order[at : at + max(1, int(fit.sum()))]
         at += len(part)
         spans = [slice(ends[i] - docs.distinct[i], ends[i]) for i in part]
         terms, counts = (np.concatenate([x[s] for s in spans]) for x in (docs.terms, docs.counts))
@@ -112,7 +120,8 @@ def _blocks(parts: list[_Docs]) -> Iterator[dict]:
             here = np.flatnonzero(counts >= least)
             if not len(here):
                 break
-            bits[_positions(terms[here], step, n_bits), column[here, None]] = True
+            for some in np.split(here, range(ENTERED, len(here), ENTERED)):
+                bits[_positions(terms[some], step, n_bits), column[some, None]] = True
         vocabulary, places, holders = np.unique(terms, return_inverse=True, return_counts=True)
         offsets = np.concatenate([[0], np.cumsum(docs.distinct[part])])
         most = np.maximum.reduceat(counts, offsets[:-1])
@@ -294,7 +303,7 @@ def _search_batches(batches: Iterator, asked: _Asked, k: int) -> Iterator:
     import pyarrow as pa
 
     best = _Best(len(asked.ids), k)
-    width = max(8, CELLS // len(asked.terms) // 8 * 8)
+    width = max(8, CELLS // max(len(asked.terms), len(asked.ids)) // 8 * 8)  # sums are items by documents
     for row in _rows(batches):
         block = _Block(row, asked)
         ids, nulls = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["nulls"], "u1") > 0

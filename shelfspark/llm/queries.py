@@ -175,7 +175,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lexical
     from .common import written
 
-    index = written(lexical.build_index(table(spark, sf_dir, "documents", "doc_id", "text")), "signatures")
+    index = written(lexical.build_index(table(spark, sf_dir, "documents", "doc_id", "text")), "signatures", lexical.GROUPED)
     return lexical.search(index, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 

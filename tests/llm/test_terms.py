@@ -187,6 +187,24 @@ def test_search_in_small_blocks_leaves_documents_out(monkeypatch):
     assert sum(scored) < 500  # the others are provably too low
 
 
+def test_search_memory_is_bounded(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    # one long document does not widen the signature of the short ones that are gathered with it
+    texts = ["a b c"] * 1500 + [" ".join(f"t{i}" for i in range(30_000))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    blocks = [b.to_pylist()[0] for b in lexical._index_batches(iter([batch]))]
+    assert sum(len(b["sizes"]) for b in blocks) == 8 * len(texts)
+    assert all(b["n_bits"] * (len(b["sizes"]) // 8) <= lexical.BLOCK_BITS for b in blocks)
+    # blocks are large rows: a row group holds few of them
+    docs = spark.range(0, 90, 1, 1).select(F.col("id").alias("doc_id"), F.expr(
+        "array_join(transform(sequence(1, 20000), i -> concat('w', hash(id, i))), ' ')").alias("text"))
+    index = written(lexical.build_index(docs), "signatures", lexical.GROUPED)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    sizes = [m.row_group(i).total_byte_size for m in groups for i in range(m.num_row_groups)]
+    assert len(sizes) > 1 and max(sizes) <= 2 * lexical.GROUP_BYTES
+
+
 def _conversations():
     rng = random.Random(8)
     marks = ["<turn>", "<text>", "<more>", "</turn>", "\\", "<\\turn>", "</turn", "\\\\<", "😀", "\n", "plain words", "<"]
