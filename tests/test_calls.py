@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import re
 from collections import deque
 
 import pytest
@@ -215,6 +216,19 @@ def test_weekly_review(spark, tmp_path):
     assert out["unembedded"].first()["n"] == 1 and out["changed_paths"].first()["n_paths"] == 1
 
 
+def test_weekly_review_reads_its_tables_once(spark, tmp_path):
+    recs = records(spark, dict(id="rule", type="rule", applies_to=["src/**"], body="a body"), dict(id="feat", type="feature", applies_to=["src/**"]))
+    vecs = spark.createDataFrame([("feat", "m", [1.0, 0.0])], "record_id string, model string, embedding array<float>")
+    commits = spark.createDataFrame([("", "h1", T0 + dt.timedelta(minutes=50), "src/a.go")], "checkout string, change_id string, at timestamp, path string")
+    files = spark.createDataFrame([("src/a.go",)], "path string")
+    none = spark.createDataFrame([], "checkout string, path string")
+    out = review(load(spark, tmp_path, DIGEST), commits, none, files, recs, vecs, F.lit(T0 + dt.timedelta(days=1)).cast("timestamp"))
+    for name in ("missed_rules", "wide_slices", "changed_paths", "stale_globs", "features", "unembedded"):
+        plan = out[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"LogicalRDD \[(id#\d+, checkout#|checkout#\d+, change_id#)", plan), name  # neither records nor commits
+    assert [r.record_id for r in out["features"].collect()] == ["feat"] and out["unembedded"].first()["n"] == 1
+
+
 def test_several_files_of_two_checkouts(spark, tmp_path):
     for folder, offset in (("a", 0), ("b", 0)):
         for part in range(2):
